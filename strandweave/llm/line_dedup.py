@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.runtime import cut
+
 WINDOW = 3
 
 
@@ -28,6 +30,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = rows.select("_id", "_h", "a", "b", F.explode(F.expr(f"sequence(0, size(a) - {WINDOW})")).alias("at"))
     at = lambda c: [F.expr(f"{c}[at + {k}]") for k in range(WINDOW)]
     places = rows.select("_id", "_h", "at", F.xxhash64(*at("a"), F.lit(1)).alias("w1"), F.xxhash64(*at("b"), F.lit(2)).alias("w2"))
+    # read twice below: hashing again would cost more than these narrow rows in the shared folder
+    places = cut(places)
     place = F.struct("_id", "_h", "at")
     firsts = places.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     firsts = firsts.where("first != last").select(F.col("w1").alias("v1"), F.col("w2").alias("v2"), "first")
