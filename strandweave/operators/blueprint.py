@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import subprocess
 import tomllib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -221,3 +222,43 @@ def scaffold(t: Tables, language: str) -> list[tuple[str, str]]:
         body = body or ("    pass\n" if language == "python" else "")
         out.append((file.format(**_names(s["id"])), whole.format(purpose=s["purpose"] or s["id"], ports=body, **_names(s["id"]))))
     return out
+
+
+def binding_errors(t: Tables, files: DataFrame) -> DataFrame:
+    """(id, problem) of bindings that aren't `<path>#<symbol>` with both parts, or whose path is none of `files` (rel)."""
+    rows = t["implementation"].select("id", "binding").union(t["adapter"].select("id", "binding"))
+    parts = rows.withColumn("path", F.trim(F.substring_index("binding", "#", 1))).withColumn("name", F.trim(F.regexp_extract("binding", "#(.*)$", 1)))
+    shaped = (F.col("path") != "") & (F.col("name") != "")
+    bad = parts.where(~F.coalesce(shaped, F.lit(False))).select("id", F.lit("not a path and a symbol").alias("problem"))
+    lost = parts.where(shaped).join(files.select(F.col("rel").alias("path")), "path", "left_anti")
+    return bad.unionByName(lost.select("id", F.lit("no such file").alias("problem")))
+
+
+def run_witnesses(t: Tables, root: str, allowed: bool = False) -> dict[str, bool]:
+    """Whether each witness's command succeeds under `root`. They are shell commands that the document's author
+    wrote, so nothing runs unless the caller allows it; a blank command fails."""
+    if not allowed:
+        raise PermissionError("witness commands are not run unless allowed")
+    out = {}
+    for w in t["witness"].orderBy("id").collect():
+        command = (w["command"] or "").strip()
+        out[w["id"]] = bool(command) and subprocess.run(["sh", "-c", command], cwd=root, capture_output=True).returncode == 0
+    return out
+
+
+def lock_findings(documents: list[tuple[Tables, str | None]], files: DataFrame) -> list[str]:
+    """Problems of blueprints with their locks: broken rules, lost bindings, drift from the lock, predecessors that aren't there."""
+    ids = [t["meta"].first()["blueprint_id"] for t, _ in documents]
+    by_id = dict(zip(ids, (t for t, _ in documents)))
+    out = [f"{i}: identity is used twice" for i in sorted({i for i in ids if ids.count(i) > 1})]
+    for i, (t, text) in zip(ids, documents):
+        out += [f"{i}: {r['problem']} ({r['id']})" for r in validate(t).orderBy("problem", "id").collect()]
+        out += [f"{i}: {r['problem']} ({r['id']})" for r in binding_errors(t, files).orderBy("id").collect()]
+        meta = t["meta"].first()
+        if meta["lifecycle"] == "locked":
+            out += [f"{i}: no lock"] if text is None else [f"{i}: {k} differs from the lock" for k in check_lock(t, text)]
+        before = meta["supersedes"]
+        if before is not None:
+            old = by_id.get(before)
+            out += [f"{i}: predecessor {before} is missing"] if old is None else [f"{i}: {r['problem']} ({r['id']})" for r in evolution(old, t).orderBy("problem", "id").collect()]
+    return out

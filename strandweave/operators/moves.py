@@ -145,3 +145,29 @@ def render_diff(edits: DataFrame, old: str, new: str) -> Iterator[str]:
             yield f"-{e['line_no']}: {e['before']}"
         if e["after"] is not None:
             yield f"+{e['line_no']}: {e['after']}"
+
+
+def tidy(files: DataFrame, file_edges: DataFrame, most: int = 20) -> Iterator[tuple[str, str, DataFrame, list[str]]]:
+    """(old, new, edits, warnings) for the first `most` misplaced files by name, a report to be worked off one by one.
+
+    Each plan is made against `files` as given; whoever applies one should read the files again before the next.
+    """
+    from strandweave.operators.graph import misplaced
+
+    for r in misplaced(file_edges).orderBy("file").limit(most).collect():
+        new = "/".join(p for p in (r["suggested_dir"], r["file"].rsplit("/", 1)[-1]) if p)
+        yield (r["file"], new, *plan_move(files, r["file"], new))
+
+
+def imported_modules(files: DataFrame) -> DataFrame:
+    """(file, module): every `crate::segment` in the text, repeats kept."""
+    found = F.expr(r"regexp_extract_all(text, 'crate::([\\p{Alnum}_]+)', 1)")
+    return files.select(F.col("path").alias("file"), F.explode(found).alias("module"))
+
+
+def module_dirs(paths: DataFrame) -> DataFrame:
+    """(module, dir) for source files (path): a file's stem and each folder but `src` name a module; the least path wins."""
+    rows = paths.where(F.col("path").endswith(".rs")).select("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", r"([^/]+)\.rs$", 1).alias("stem"))
+    parts = F.filter(F.split("dir", "/"), lambda x: (x != "src") & (x != ""))
+    named = rows.select("path", "dir", F.explode(F.concat(F.array("stem"), parts)).alias("module"))
+    return named.where("module != 'mod'").groupBy("module").agg(F.min_by("dir", F.struct("path", "dir")).alias("dir"))

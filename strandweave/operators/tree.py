@@ -109,3 +109,53 @@ def layer_violations(edges: DataFrame, file_layers: DataFrame, layers: DataFrame
     a = ranked.select(F.col("id").alias("src"), F.col("layer").alias("from_layer"), F.col("idx").alias("i"))
     b = ranked.select(F.col("id").alias("dst"), F.col("layer").alias("to_layer"), F.col("idx").alias("j"))
     return edges.join(a, "src").join(b, "dst").where("j > i").select("src", "dst", "from_layer", "to_layer")
+
+
+def rendered(nodes: DataFrame, most_depth: int | None = None) -> DataFrame:
+    """(path, line): the tree as indented lines; sorting by path gives depth-first order, children by id.
+
+    Composites carry the number of files below them; with `most_depth` deeper nodes are left out.
+    """
+    counted = subtree(nodes).select("id", "parent", "kind", "files")
+    level = cut(counted.where("parent IS NULL").select("id", "kind", "files", F.array("id").alias("path")))
+    out, k = [level], 0
+    while most_depth is None or k < most_depth:
+        k += 1
+        up = level.select(F.col("id").alias("up"), "path")
+        level = cut(counted.join(up, counted["parent"] == up["up"]).select("id", "kind", "files", F.concat("path", F.array("id")).alias("path")))
+        if level.isEmpty():
+            break
+        out.append(level)
+    name = F.substring_index("id", "/", -1)
+    count = F.when(F.col("kind") == "composite", F.concat(F.lit(" ("), F.col("files").cast("string"), F.lit(")"))).otherwise("")
+    return union_all([o.select("path", F.concat(F.repeat(F.lit("  "), F.lit(i)), name, count).alias("line")) for i, o in enumerate(out)])
+
+
+def dependency_path(depends: DataFrame) -> list[str]:
+    """One cycle of dependencies (id, target) as a path that ends where it began, [] if there is none.
+
+    Spark finds the nodes on cycles; only the component of least name comes to the driver, to be walked.
+    """
+    from strandweave.operators.graph import cycles
+
+    loop = depends.where("id = target").agg(F.min("id")).first()[0]
+    if loop is not None:
+        return [loop, loop]
+    edges = depends.select(F.col("id").alias("src"), F.col("target").alias("dst"))
+    found = cut(cycles(edges))
+    least = found.agg(F.min("component")).first()[0]
+    if least is None:
+        return []
+    own = found.where(F.col("component") == least).select(F.col("node").alias("src"))
+    to: dict[str, list[str]] = {}
+    for r in edges.join(own, "src", "left_semi").join(own.withColumnRenamed("src", "dst"), "dst", "left_semi").orderBy("src", "dst").collect():
+        to.setdefault(r["src"], []).append(r["dst"])
+    paths, seen = [[least]], {least}
+    for path in paths:
+        for b in to.get(path[-1], []):
+            if b == least:
+                return [*path, b]
+            if b not in seen:
+                seen.add(b)
+                paths.append([*path, b])
+    return []

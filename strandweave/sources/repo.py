@@ -240,3 +240,28 @@ def require_fresh(files: DataFrame, indices: DataFrame) -> None:
 
 def leaf_tag(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", leaf_of(F.col("id")).alias("name"))
+
+
+def discover_indices(root: str) -> list[str]:
+    """The occurrence indices right under `root`, by name."""
+    return sorted(os.path.join(root, n) for n in os.listdir(root) if n.endswith(".scip"))
+
+
+def discover_graph_inputs(root: str, folder: str = ".strandweave") -> list[str]:
+    """The inputs of a snapshot: the index at the root, those in `folder`, and the architecture documents there."""
+    found = [os.path.join(root, "index.scip"), os.path.join(root, folder, "index.scip")]
+    for sub, end in (("indexes", ".scip"), ("blueprints", ".toml")):
+        here = os.path.join(root, folder, sub)
+        found += [os.path.join(here, n) for n in sorted(os.listdir(here)) if n.endswith(end)] if os.path.isdir(here) else []
+    return [f for f in found if os.path.exists(f)]
+
+
+def merge_symbols(parts: list[DataFrame]) -> DataFrame:
+    """Symbols of several indices; where two define one symbol the later index wins."""
+    ranked = [p.withColumn("_index", F.lit(k)) for k, p in enumerate(parts)]
+    rows = ranked[0]
+    for r in ranked[1:]:
+        rows = rows.unionByName(r)
+    columns = parts[0].columns
+    best = rows.groupBy("symbol").agg(F.max_by(F.struct(*columns), "_index").alias("s"))
+    return best.select("s.*")
