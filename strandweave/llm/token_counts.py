@@ -22,7 +22,8 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     n_tokens * docs_longer is the corpus's total after truncation. Lengths are summed within blocks of 4096
     lengths and blocks among themselves, so no task holds all lengths. An empty histogram gives no rows.
     """
-    rows = hist.withColumn("block", F.expr(f"n_tokens div {_BLOCK}")).withColumn("tokens", F.col("n_tokens") * F.col("docs"))
+    # read for the blocks and for the rows: without the cut the corpus would be encoded for each
+    rows = cut(hist).withColumn("block", F.expr(f"n_tokens div {_BLOCK}")).withColumn("tokens", F.col("n_tokens") * F.col("docs"))
     blocks = rows.groupBy("block").agg(F.sum("docs").alias("bd"), F.sum("tokens").alias("bt"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(
