@@ -112,16 +112,20 @@ def fit(
     picked = sample_by_class(have.select("id", "lang", "text"), "lang", "id", docs_per_lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, int], Counter] = defaultdict(Counter)
+        seen: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
             for text, lang in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
-                seen = Counter(words_of(text.decode("utf-8", "replace")))
-                for word, n in seen.items():
-                    if len(word) <= LONGEST_WORD:
-                        counts[lang, 0][word] += n
-                    for size in range(1, longest_gram + 1):
-                        for gram in grams_of(word, size):
-                            counts[lang, size][gram] += n
+                seen[lang].update(words_of(text.decode("utf-8", "replace")))
+        # n-grams come from each distinct word once, with its count
+        counts: dict[tuple[str, int], Counter] = defaultdict(Counter)
+        for lang, words in seen.items():
+            for word, n in words.items():
+                if len(word) <= LONGEST_WORD:
+                    counts[lang, 0][word] = n
+                for size in range(1, longest_gram + 1):
+                    own = counts[lang, size]
+                    for gram in grams_of(word, size):
+                        own[gram] += n
         for (lang, size), own in counts.items():
             if own:
                 yield pa.RecordBatch.from_arrays(
@@ -129,7 +133,9 @@ def fit(
                     ["lang", "size", "gram", "n"],
                 )
 
-    rows = picked.select("text", "lang").mapInArrow(run, "lang string, size int, gram string, n long")
+    # the sample is small and may lie in a few files: spread over all cores
+    spread = picked.select("text", "lang").repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    rows = spread.mapInArrow(run, "lang string, size int, gram string, n long")
     rows = rows.groupBy("size", "gram", "lang").agg(F.sum("n").alias("n")).persist()
     totals = {(r["size"], r["lang"]): r["n"] for r in rows.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({lang for _, lang in totals})
