@@ -68,8 +68,6 @@ class Model:
         return total / len(marked)
 
     def _index(self, word: str) -> int:
-        if self._table is None or len(self._row) >= _ROWS:
-            self._row, self._table = {}, np.empty((_ROWS, len(self.langs)))
         at = self._row[word] = len(self._row)
         self._table[at] = self.word_score(word)
         return at
@@ -81,12 +79,14 @@ class Model:
         if not self.langs or not _lettered(counts):
             return "und", 0.0
         total, items = np.zeros(len(self.langs)), list(counts.items())
-        for at in range(0, len(items), 4096):
-            some = items[at : at + 4096]
-            if len(self._row) + len(some) >= _ROWS:
-                self._table = None
+        block = min(4096, _ROWS)
+        for at in range(0, len(items), block):
+            some = items[at : at + block]
+            # rows and table start anew together, and only between blocks, as a block's rows point into the table
+            if self._table is None or len(self._row) + len(some) > _ROWS:
+                self._row, self._table = {}, np.empty((_ROWS, len(self.langs)))
             get, index = self._row.get, self._index
-            rows = [index(w) if self._table is None or (r := get(w)) is None else r for w, _ in some]
+            rows = [index(w) if (r := get(w)) is None else r for w, _ in some]
             total += np.array([c for _, c in some], dtype=float) @ self._table[rows]
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
