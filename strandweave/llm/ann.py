@@ -98,15 +98,24 @@ def _grouped(index: Index, k: int, rerank: int):
             x, q = (_matrix(t["vec"].combine_chunks(), index.dim) for t in (left, right))
             codes = np.frombuffer(b"".join(left["codes"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
             base, sizes = index.centers[key[0].as_py()], np.sqrt((x * x).sum(axis=1))
+            # a quantised cosine is off by no more than the length of what quantising lost
+            lost, slack = _unit(x) - base, 1e-9
+            for s, book, code in zip(index.slices, index.books, codes.T):
+                lost[:, s] -= book[code]
+            off = np.sqrt((lost * lost).sum(axis=1)) + slack
             for qid, own in zip(right["query_id"].to_pylist(), q):
                 unit = _unit(own[None, :])[0]
                 near = np.full(len(ids), unit @ base)
                 for s, book, code in zip(index.slices, index.books, codes.T):
                     near += (book @ unit[s])[code]
                 near[ids == qid] = -np.inf
+                cosine = lambda at: (x[at] * own).sum(axis=1) / (sizes[at] * np.sqrt((own * own).sum()))  # noqa: B023, E731
                 top = np.argpartition(-near, rerank - 1)[:rerank] if rerank < len(ids) else np.arange(len(ids))
                 top = top[ids[top] != qid]
-                score = (x[top] * own).sum(axis=1) / (sizes[top] * np.sqrt((own * own).sum()))
+                score = cosine(top)
+                if rerank < len(ids) and len(top) >= k:
+                    top = np.flatnonzero(near + off >= np.partition(score, len(top) - k)[len(top) - k])
+                    score = cosine(top)
                 order = np.lexsort((ids[top], -score))[:k]
                 out["query_id"] += [qid] * len(order)
                 out["vec_id"] += ids[top][order].tolist()
@@ -124,7 +133,8 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
     (the least vector). Every other row is indexed. A list's rows are spread over groups of about 4096 and its
     queries over groups of 1024, so a list that holds a third of all rows still makes bounded groups. Within a
     group the quantised codes pick `rerank` rows a query, whose cosines are then computed in double precision
-    from the vectors themselves. Ties go to the smaller id; fewer candidates than `k` give fewer rows; an
+    from the vectors themselves; so are those of all rows that could, by what their codes lost, equal or beat the
+    k-th of these. So a group gives its true `k` nearest, however many rows are alike. Ties go to the smaller id; fewer candidates than `k` give fewer rows; an
     empty table gives none.
     """
     spark = vectors.sparkSession

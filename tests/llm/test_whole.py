@@ -4,8 +4,16 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
-from strandweave.llm import langid
+from strandweave.llm import ann, langid
+
+
+def nearest_ids(ids, x, query, k=5):
+    own = x[ids == query][0]
+    score = (x * own).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((own * own).sum()))
+    return [int(ids[i]) for i in np.lexsort((ids, -score)) if ids[i] != query][:k]
 
 
 def test_full_word_cache_keeps_predictions(monkeypatch):
@@ -19,3 +27,28 @@ def test_full_word_cache_keeps_predictions(monkeypatch):
         total = sum(n * model.word_score(w) for w, n in Counter(langid.words_of(text)).items())
         lang, score = model.predict(text)
         assert lang == langs[int(np.argmax(total))] and abs(score - 1 / np.exp(total - total.max()).sum()) < 1e-9
+
+
+def test_search_takes_the_least_ids_of_thousands_of_copies(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([np.tile(rng.normal(size=16).round(2), (3000, 1)), rng.normal(size=(1500, 16)).round(2)])
+    ids = rng.permutation(len(x))
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    queries = [int(i) for i in ids[:3000] if i % 100 == 0]
+    got = ann.search(rows, F.col("vec_id") % 100 == 0).where(F.col("query_id").isin(queries)).orderBy("query_id", "rank").collect()
+    assert len(queries) > 10 and [(r.query_id, r.vec_id) for r in got] == [(q, i) for q in sorted(queries) for i in nearest_ids(ids, x, q)]
+
+
+def test_a_group_of_near_copies_gives_its_true_nearest():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=8) + np.concatenate([rng.normal(size=(2500, 8)) * 1e-3, rng.normal(size=(1500, 8))])
+    ids, unit = rng.permutation(len(x)), x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    slices = np.array_split(np.arange(8), 4)
+    index = ann.Index(8, unit.mean(axis=0)[None, :], slices, [], 1)
+    index.books = [ann.kmeans((unit - index.centers[0])[:, s], 16, 1) for s in slices]
+    codes = [c.tobytes() for c in index.encode(unit, np.zeros(len(x), dtype=int))]
+    asked = ids[::97]
+    left = pa.table({"vec_id": ids, "vec": x.tolist(), "codes": pa.array(codes, pa.binary())})
+    right = pa.table({"query_id": asked, "vec": x[::97].tolist()})
+    got = ann._grouped(index, 5, 200)((pa.scalar(0),), left, right)
+    assert got["vec_id"].to_pylist() == [i for q in asked for i in nearest_ids(ids, x, q)]
