@@ -17,6 +17,8 @@ from strandweave.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: Registered queries over all rows where the SQL of the query of that name, less `_whole`, takes only some of them; without SQL.
+WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(sql: str | None = None) -> Callable:
@@ -29,6 +31,11 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+def whole(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+    WHOLE[f.__name__] = f
+    return f
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.traverse(views.key_facts(spark, sf_dir), "IMPACT nation:3 DEPTH 3").select("depth", "entity")
 
@@ -182,7 +189,10 @@ _LAYERS = "(VALUES ('low', 0), ('mid', 1), ('high', 2)) v(layer, idx)"
 
 @query(f"WITH {_E40}, l AS (SELECT DISTINCT file, CASE WHEN file < 'Brand#23' THEN 'low' WHEN file < 'Brand#4' THEN 'mid' WHEN file < 'Brand#53' THEN 'high' END AS layer FROM items), x AS (SELECT file, layer, idx FROM l JOIN {_LAYERS} USING (layer)) SELECT src, dst, a.layer AS from_layer, b.layer AS to_layer FROM edges JOIN x a ON a.file = src JOIN x b ON b.file = dst WHERE b.idx > a.idx")
 def layer_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = views.part_edges(spark, sf_dir)
+    return _layered(spark, views.part_edges(spark, sf_dir))
+
+
+def _layered(spark: SparkSession, edges: DataFrame) -> DataFrame:
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     layer = F.when(F.col("id") < "Brand#23", "low").when(F.col("id") < "Brand#4", "mid").when(F.col("id") < "Brand#53", "high")
     levels = spark.createDataFrame([("low", 0), ("mid", 1), ("high", 2)], "layer string, idx int")
@@ -223,7 +233,10 @@ def reachable_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_REACH} SELECT node FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges) WHERE node NOT IN (SELECT node FROM reached)")
 def dead_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = views.part_edges(spark, sf_dir)
+    return _dead(views.part_edges(spark, sf_dir))
+
+
+def _dead(edges: DataFrame) -> DataFrame:
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     return nodes.join(graph.reachable(edges, _entry(edges)), "node", "left_anti")
 
@@ -255,7 +268,61 @@ def graph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_E40} SELECT count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM edges")
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.part_edges(spark, sf_dir).agg(F.count("*").alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"))
+    return _edge_counts(views.part_edges(spark, sf_dir))
+
+
+def _edge_counts(edges: DataFrame) -> DataFrame:
+    return edges.agg(F.count("*").alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"))
+
+
+def _all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.part_edges(spark, sf_dir, None)
+
+
+@whole
+def layer_violations_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _layered(spark, _all_edges(spark, sf_dir))
+
+
+@whole
+def reachable_set_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _all_edges(spark, sf_dir)
+    return graph.reachable(edges, _entry(edges))
+
+
+@whole
+def dead_nodes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dead(_all_edges(spark, sf_dir))
+
+
+@whole
+def dependency_cycles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cycles(_all_edges(spark, sf_dir))
+
+
+@whole
+def misplaced_files_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.misplaced(_all_edges(spark, sf_dir))
+
+
+@whole
+def placement_rank_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.placement(_all_edges(spark, sf_dir))
+
+
+@whole
+def fan_in_top_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.fan_in(_all_edges(spark, sf_dir))
+
+
+@whole
+def graph_merge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.merge_graphs(views.part_edges(spark, sf_dir, 40), _all_edges(spark, sf_dir))
+
+
+@whole
+def index_stats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edge_counts(_all_edges(spark, sf_dir))
 
 
 @query("""WITH s AS (SELECT user_id, event_id, ts, lead(ts, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until FROM events WHERE event_type = 'signup'),
