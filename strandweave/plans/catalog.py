@@ -162,6 +162,30 @@ def tree_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.invariants(*_broken(spark, sf_dir))
 
 
+@whole
+def tree_file_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.subtree(views.tree(spark, sf_dir)).select("id", "files", "loc")
+
+
+@whole
+def tree_depth_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.subtree(views.tree(spark, sf_dir)).select("id", "depth")
+
+
+@whole
+def tree_complexity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every node, of which tree_complexity_top has the first 15 above the orders."""
+    return trees.subtree(views.tree(spark, sf_dir)).select("id", F.round("score", 3).alias("score"))
+
+
+@whole
+def tree_invariants_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole tree with a nation and an order gone, and lists of children that lack customers, orders and lines."""
+    nodes = views.tree(spark, sf_dir)
+    children = nodes.where("parent IS NOT NULL AND id NOT LIKE 'c%7' AND id NOT LIKE 'o%7'").select(F.col("parent").alias("id"), F.col("id").alias("child"))
+    return trees.invariants(nodes.where("id NOT IN ('n3', 'o1')"), children, spark.createDataFrame([("r0", "r1"), ("r0", "r99")], "id string, target string"))
+
+
 @query("SELECT 'o' || l_orderkey AS parent, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY 1 HAVING count(*) > 5")
 def bounded_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.growth(views.tree(spark, sf_dir), 5)

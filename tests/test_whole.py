@@ -1,5 +1,6 @@
 """The queries over all rows against brute force on small tables."""
 
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -62,3 +63,37 @@ def test_graphs_over_all_edges(spark, parts):
         near[b][home(a)] += 1
     ranked = [(f, d, n, k + 1) for f, c in near.items() for k, (d, n) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0])))]
     assert rows(spark, "placement_rank_whole", folder) == sorted(ranked)
+
+
+def test_trees_with_orders_and_lines(spark, tmp_path):
+    rng, keep = random.Random(6), lambda name, rows, kind: spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    nations, customers = [(n, n % 2) for n in range(5)], [(c, c % 5) for c in range(12)]
+    orders = [(o, rng.randint(0, 9)) for o in range(30)]
+    lines = [(o, k + 1, float(rng.randint(1, 50))) for o in range(27) for k in range(rng.randint(1, 8))]
+    keep("region", [(0,), (1,)], "r_regionkey int")
+    keep("nation", nations, "n_nationkey int, n_regionkey int")
+    keep("customer", customers, "c_custkey long, c_nationkey int")
+    keep("orders", orders, "o_orderkey long, o_custkey long")
+    keep("lineitem", lines, "l_orderkey long, l_linenumber int, l_quantity double")
+    up = {"root": None, "r0": "root", "r1": "root"} | {f"n{n}": f"r{r}" for n, r in nations} | {f"c{c}": f"n{n}" for c, n in customers}
+    up |= {f"o{o}": f"c{c}" for o, c in orders} | {f"o{o}/{k}": f"o{o}" for o, k, _ in lines}
+    size, kids = {f"o{o}/{k}": int(q) for o, k, q in lines}, defaultdict(list)
+    for i, p in up.items():
+        kids[p].append(i)
+
+    def fold(i):
+        if i in size:
+            return 1, size[i], 1, float(size[i])
+        below = [fold(k) for k in kids[i]]
+        return sum(b[0] for b in below), sum(b[1] for b in below), 1 + max((b[2] for b in below), default=0), sum(b[3] for b in below) * (1 + math.log(max(1, len(below))) / 10)
+
+    want, folder = {i: fold(i) for i in up}, str(tmp_path)
+    assert rows(spark, "tree_file_counts_whole", folder) == sorted((i, w[0], w[1]) for i, w in want.items())
+    assert rows(spark, "tree_depth_whole", folder) == sorted((i, w[2]) for i, w in want.items())
+    scores = dict(rows(spark, "tree_complexity_whole", folder))
+    assert scores.keys() == want.keys() and all(abs(scores[i] - w[3]) < 1e-3 for i, w in want.items())
+    left, listed = set(up) - {"n3", "o1"}, {i: p for i, p in up.items() if p and not (i[0] in "co" and i.endswith("7"))}
+    bad = [("parent missing", i, up[i]) for i in left if up[i] and up[i] not in left]
+    bad += [("not listed by parent", i, up[i]) for i in left if up[i] in left and i not in listed]
+    bad += [("names another parent", i, p) for i, p in listed.items() if i not in left] + [("dependency missing", "r0", "r99")]
+    assert rows(spark, "tree_invariants_whole", folder) == sorted(bad)
