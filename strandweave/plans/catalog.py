@@ -197,8 +197,18 @@ _HOMES = "homes AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+)', 1)
 @query(f"WITH {_HOMES} SELECT p.path, coalesce(arg_max(h.home, len(h.home)), '') AS home FROM (SELECT DISTINCT url AS path FROM pages) p LEFT JOIN homes h ON starts_with(p.path, h.home || '/') AND h.home != '' GROUP BY p.path")
 def nearest_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
+    return _homes(p, p.where("page_id % 2 = 0"))
+
+
+@whole
+def nearest_ancestor_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    return _homes(p, p)
+
+
+def _homes(p: DataFrame, sectioned: DataFrame) -> DataFrame:
     hosts = p.select(F.regexp_extract("url", "^(https?://[^/]+)", 1).alias("home"))
-    sections = p.where("page_id % 2 = 0").select(F.regexp_extract("url", "^(https?://[^/]+/[^/]+)/", 1).alias("home"))
+    sections = sectioned.select(F.regexp_extract("url", "^(https?://[^/]+/[^/]+)/", 1).alias("home"))
     return trees.nearest_ancestor(p.select(F.col("url").alias("path")), hosts.union(sections).where("home != ''"))
 
 

@@ -97,3 +97,10 @@ def test_trees_with_orders_and_lines(spark, tmp_path):
     bad += [("not listed by parent", i, up[i]) for i in left if up[i] in left and i not in listed]
     bad += [("names another parent", i, p) for i, p in listed.items() if i not in left] + [("dependency missing", "r0", "r99")]
     assert rows(spark, "tree_invariants_whole", folder) == sorted(bad)
+
+
+def test_sections_of_odd_pages_are_homes(spark, tmp_path):
+    pages = [(1, "http://a.b/odd/x/y"), (2, "http://a.b/even/x"), (3, "http://a.b/top"), (5, "ftp://a.b/odd/x")]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = {pages[0][1]: "http://a.b/odd", pages[1][1]: "http://a.b/even", pages[2][1]: "http://a.b", pages[3][1]: ""}
+    assert rows(spark, "nearest_ancestor_whole", str(tmp_path)) == sorted(want.items())
