@@ -48,9 +48,11 @@ class Index:
         rest = unit - self.centers[own]
         return np.stack([nearest(rest[:, s], b) for s, b in zip(self.slices, self.books)], axis=1).astype(np.uint8)
 
-    def lists(self, unit: np.ndarray) -> np.ndarray:
-        scores = unit @ self.centers.T - (self.centers**2).sum(axis=1) / 2
-        return np.argpartition(-scores, self.probes - 1, axis=1)[:, : self.probes] if self.probes < scores.shape[1] else np.tile(np.arange(scores.shape[1]), (len(unit), 1))
+    def lists(self, unit: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """For each row the `probes` nearest lists, and further ones until they hold `least` rows by `sizes`."""
+        order = np.argsort(-(unit @ self.centers.T - (self.centers**2).sum(axis=1) / 2), axis=1)
+        enough = (np.cumsum(sizes[order], axis=1) < least).sum(axis=1) + 1
+        return [o[: max(self.probes, n)].astype(np.int32) for o, n in zip(order, enough)]
 
 
 def usable(vec: str) -> Column:
@@ -131,10 +133,11 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
     `is_query` is a condition over vec_id. Vectors that are null, zero, hold nulls or non-finite numbers, or
     have another length than most take no part, nor do rows with a null id; of rows that repeat an id one counts
     (the least vector). Every other row is indexed. A list's rows are spread over groups of about 4096 and its
-    queries over groups of 1024, so a list that holds a third of all rows still makes bounded groups. Within a
-    group the quantised codes pick `rerank` rows a query, whose cosines are then computed in double precision
-    from the vectors themselves; so are those of all rows that could, by what their codes lost, equal or beat the
-    k-th of these. So a group gives its true `k` nearest, however many rows are alike. Ties go to the smaller id; fewer candidates than `k` give fewer rows; an
+    queries over groups of 1024, and a query looks into further lists until they hold `k` other rows. A list that holds
+    a third of all rows still makes bounded groups. Within a group the quantised codes pick `rerank` rows a query,
+    whose cosines are then computed in double precision from the vectors themselves; so are those of all rows that
+    could, by what their codes lost, equal or beat the k-th of these. So a group gives its true `k` nearest, however
+    many rows are alike. Ties go to the smaller id; fewer candidates than `k` give fewer rows; an
     empty table gives none.
     """
     spark = vectors.sparkSession
@@ -158,14 +161,16 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                lists = shared.value.lists(_unit(_matrix(batch.column(1), shared.value.dim)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["query_id", "vec", "lists"])
+                # a query is in one of the lists itself
+                lists = shared.value.lists(_unit(_matrix(batch.column(1), shared.value.dim)), sizes, k + 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int32()))], ["query_id", "vec", "lists"])
 
     indexed = rows.mapInArrow(place, "vec_id long, vec array<double>, list int, codes binary")
-    queries = rows.where(is_query).mapInArrow(ask, "query_id long, vec array<double>, lists array<int>")
-    asked = queries.select("query_id", "vec", F.explode("lists").alias("list"))
     # one number for each list, of which there are 1024 at most
     held = {r["list"]: r["count"] for r in indexed.groupBy("list").count().collect()}
+    sizes = np.array([held.get(i, 0) for i in range(len(index.centers))])
+    queries = rows.where(is_query).mapInArrow(ask, "query_id long, vec array<double>, lists array<int>")
+    asked = queries.select("query_id", "vec", F.explode("lists").alias("list"))
     wanted = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
     lists = range(len(index.centers))
     parts = F.array(*[F.lit(max(1, -(-held.get(i, 0) // ROWS_A_GROUP))) for i in lists])

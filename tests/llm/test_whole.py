@@ -52,3 +52,17 @@ def test_a_group_of_near_copies_gives_its_true_nearest():
     right = pa.table({"query_id": asked, "vec": x[::97].tolist()})
     got = ann._grouped(index, 5, 200)((pa.scalar(0),), left, right)
     assert got["vec_id"].to_pylist() == [i for q in asked for i in nearest_ids(ids, x, q)]
+
+
+def test_an_outlier_with_its_own_list_finds_k_rows(spark, monkeypatch):
+    index = ann.Index(2, np.array([[1.0, 0.0], [-1.0, 0.0]]), [np.arange(2)], [np.zeros((1, 2))], 1)
+    monkeypatch.setattr(ann, "fit", lambda *a, **k: index)
+    rows = spark.createDataFrame([(i, [1.0, i / 100]) for i in range(1, 50)] + [(50, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = ann.search(rows, F.col("vec_id") == 50).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [49, 48, 47, 46, 45]
+
+
+def test_lists_go_on_until_they_hold_enough():
+    index = ann.Index(2, np.array([[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0]]), [], [], 1)
+    lists = index.lists(np.array([[1.0, 0.1], [0.1, 1.0]]), np.array([1, 4, 9]), 6)
+    assert [x.tolist() for x in lists] == [[0, 1, 2], [1, 0, 2]]
