@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm.arrow import mapper, texts
+from strandweave.llm.columns import only
 from strandweave.llm.sampling import fold, sample_by_class
 
 _RUN = re.compile(r"[^\W\d_]+")
-#: Words longer than this many code points are scored by n-grams over their whole length but are never in the table.
-LONGEST_WORD = 40
+#: Words whose scores a worker keeps; when it is full it starts anew.
 _ROWS = 1 << 17
 
 
@@ -36,43 +36,56 @@ def grams_of(word: str, size: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies by language. Its size is bounded by the fit's limits on words and n-grams."""
+    """Log frequencies by language: a row of `table` for each known word and n-gram. The sample it was fitted on bounds its size."""
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]  # by size - 1
+    words: dict[str, int]
+    grams: list[dict[str, int]]  # by size - 1
+    table: np.ndarray
     unseen: np.ndarray
     _row: dict[str, int] = field(default_factory=dict)
-    _table: np.ndarray | None = None
+    _cache: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, langs: list[str], words: dict[str, np.ndarray], grams: list[dict[str, np.ndarray]], unseen: np.ndarray) -> Model:
+        rows: list[np.ndarray] = []
+
+        def placed(known: dict[str, np.ndarray]) -> dict[str, int]:
+            at = {k: len(rows) + i for i, k in enumerate(known)}
+            rows.extend(known.values())
+            return at
+
+        return cls(langs, placed(words), [placed(g) for g in grams], np.array(rows, dtype=float).reshape(-1, len(langs)), unseen)
 
     def __getstate__(self) -> dict:
-        return {"langs": self.langs, "words": self.words, "grams": self.grams, "unseen": self.unseen}
+        return {"langs": self.langs, "words": self.words, "grams": self.grams, "table": self.table, "unseen": self.unseen}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state, _row={}, _table=None)
+        self.__dict__.update(state, _row={}, _cache=None)
 
     def word_score(self, word: str) -> np.ndarray:
         """The word's log frequencies; for an unseen word the mean over its places, each by the longest known n-gram there."""
         known = self.words.get(word)
         if known is not None:
-            return known
-        marked, total, longest = f"^{word}$", np.zeros(len(self.langs)), len(self.grams)
+            return self.table[known]
+        marked, rows, missed, longest = f"^{word}$", [], 0, len(self.grams)
         for i in range(len(marked)):
             for size in range(min(longest, len(marked) - i), 0, -1):
                 hit = self.grams[size - 1].get(marked[i : i + size])
                 if hit is not None:
-                    total += hit
+                    rows.append(hit)
                     break
             else:
-                total += self.unseen
-        return total / len(marked)
+                missed += 1
+        return (self.table[rows].sum(axis=0) + missed * self.unseen) / len(marked)
 
     def _index(self, word: str) -> int:
         at = self._row[word] = len(self._row)
-        self._table[at] = self.word_score(word)
+        self._cache[at] = self.word_score(word)
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        """The language of the greatest sum over the words, and its share by the mean over the words: one average word's posterior."""
         if not text:
             return "und", 0.0
         counts = Counter(words_of(text))
@@ -83,13 +96,13 @@ class Model:
         for at in range(0, len(items), block):
             some = items[at : at + block]
             # rows and table start anew together, and only between blocks, as a block's rows point into the table
-            if self._table is None or len(self._row) + len(some) > _ROWS:
-                self._row, self._table = {}, np.empty((_ROWS, len(self.langs)))
+            if self._cache is None or len(self._row) + len(some) > _ROWS:
+                self._row, self._cache = {}, np.empty((_ROWS, len(self.langs)))
             get, index = self._row.get, self._index
             rows = [index(w) if (r := get(w)) is None else r for w, _ in some]
-            total += np.array([c for _, c in some], dtype=float) @ self._table[rows]
+            total += np.array([c for _, c in some], dtype=float) @ self._cache[rows]
         best = int(np.argmax(total))
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+        return self.langs[best], float(1 / np.exp((total - total[best]) / sum(counts.values())).sum())
 
 
 def fit(
@@ -98,18 +111,17 @@ def fit(
     text_col: str = "text",
     lang_col: str = "lang",
     docs_per_lang: int = 1500,
-    max_words: int = 100_000,
-    max_grams: int = 50_000,
+    docs_in_all: int = 30_000,
     longest_gram: int = 5,
 ) -> Model:
-    """A model from about `docs_per_lang` whole documents of each language, those that `docs` has with text and language.
+    """A model from about `docs_per_lang` whole documents of each language and `docs_in_all` of all, those with text and language.
 
-    The tables keep the `max_words` most frequent words and `max_grams` n-grams of each size, ties by the
-    word itself, so what reaches the driver is bounded.
+    Every word and every n-gram of up to `longest_gram` characters in them is learned, so the tables that reach
+    the driver are bounded by the sample alone.
     """
-    have = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    have = only(docs, id_col, text_col, lang_col).toDF("id", "text", "lang").withColumn("lang", F.col("lang").cast("string"))
     have = have.where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
-    picked = sample_by_class(have.select("id", "lang", "text"), "lang", "id", docs_per_lang)
+    picked = sample_by_class(have, "lang", "id", docs_per_lang, in_all=docs_in_all)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)
@@ -119,9 +131,8 @@ def fit(
         # n-grams come from each distinct word once, with its count
         counts: dict[tuple[str, int], Counter] = defaultdict(Counter)
         for lang, words in seen.items():
+            counts[lang, 0] = words
             for word, n in words.items():
-                if len(word) <= LONGEST_WORD:
-                    counts[lang, 0][word] = n
                 for size in range(1, longest_gram + 1):
                     own = counts[lang, size]
                     for gram in grams_of(word, size):
@@ -136,27 +147,33 @@ def fit(
     # the sample is small and may lie in a few files: spread over all cores
     spread = picked.select("text", "lang").repartition(docs.sparkSession.sparkContext.defaultParallelism)
     rows = spread.mapInArrow(run, "lang string, size int, gram string, n long")
-    rows = rows.groupBy("size", "gram", "lang").agg(F.sum("n").alias("n")).persist()
-    totals = {(r["size"], r["lang"]): r["n"] for r in rows.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted({lang for _, lang in totals})
-    by = F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)) for lang in langs] or [F.lit(0)])
-    grams = rows.groupBy("size", "gram").agg(F.sum("n").alias("n"), by.alias("by"))
-    parts: list[dict[str, np.ndarray]] = []
-    for size in range(longest_gram + 1):
-        got = grams.where(F.col("size") == size).orderBy(F.desc("n"), "gram").limit(max_grams if size else max_words).select("gram", "by").toArrow()
-        counts = got["by"].combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1) if got.num_rows else np.zeros((0, len(langs)))
-        most = np.array([totals.get((size, lang), 0) for lang in langs], dtype=float)
-        parts.append(dict(zip(got["gram"].to_pylist(), np.log((counts + 0.1) / (most + 1.0)) if len(counts) else [])))
-    rows.unpersist()
-    return Model(langs, parts[0], parts[1:], np.full(len(langs), -20.0))
+    got = rows.groupBy("size", "gram", "lang").agg(F.sum("n").alias("n")).toArrow()
+    return _model(*(got[c].combine_chunks() for c in ("size", "gram", "lang", "n")), longest_gram)
+
+
+def _model(size: pa.Array, gram: pa.Array, lang: pa.Array, n: pa.Array, longest_gram: int) -> Model:
+    """Counts as log((count + 0.1) / (all of that size in the language + 1))."""
+    lang, n, size = lang.dictionary_encode(), n.to_numpy(zero_copy_only=False).astype(float), size.to_numpy(zero_copy_only=False)
+    langs = sorted(lang.dictionary.to_pylist())
+    column = np.array([langs.index(name) for name in lang.dictionary.to_pylist()], dtype=int)[lang.indices.to_numpy()] if langs else np.zeros(0, int)
+    parts, tables, at = [], [], 0
+    for s in range(longest_gram + 1):
+        own = np.flatnonzero(size == s)
+        names = gram.take(pa.array(own)).dictionary_encode()
+        counts = np.zeros((len(names.dictionary), len(langs)))
+        np.add.at(counts, (names.indices.to_numpy(), column[own]), n[own])
+        tables.append(np.log((counts + 0.1) / (counts.sum(axis=0) + 1.0)))
+        parts.append({name: at + i for i, name in enumerate(names.dictionary.to_pylist())})
+        at += len(counts)
+    return Model(langs, parts[0], parts[1:], np.concatenate(tables), np.full(len(langs), -20.0))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score): a row for each row of `docs`.
 
     A null text, an empty one and one without letters give `und` with score 0; so does a model that learned
-    no language. The score is the posterior of the language given, all languages being as likely beforehand.
-    Ties go to the language that sorts first. held_out is crc32(id) mod 4 = 2, false for a null id. Repeated
+    no language. The score is the language's posterior for one average word of the text, all languages being
+    as likely beforehand; a text of two languages has about a half. Ties go to the language that sorts first. held_out is crc32(id) mod 4 = 2, false for a null id. Repeated
     rows each keep their row; columns of other names play no part. Long texts are read whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -168,7 +185,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             ["doc_id", "held_out", "lang_pred", "score"],
         )
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(fold(id_col) == 2, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
+    rows = only(docs, id_col, text_col).toDF("doc_id", "text").select("doc_id", F.coalesce(fold("doc_id") == 2, F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(mapper(one), f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
 
 
