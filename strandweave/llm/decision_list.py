@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.llm.columns import only, place, placed
 from strandweave.llm.sampling import fold, sample_by_class
 from strandweave.llm.stats import NAMES, RATIOS, text_stats, with_ratios
 
@@ -123,17 +124,17 @@ def fired(rules: list[Rule]) -> Column:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 6000, held_out: int | None = None) -> list[Rule]:
-    """Rules from the statistics of about `most` labelled documents of each class; a fold may be left out.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 6000, held_out: int | None = 2) -> list[Rule]:
+    """Rules from the statistics of about `most` labelled documents of each class outside the fold `held_out`.
 
     Documents that fail the base teach nothing, as the list never judges them. A document with several labels counts as bad if any of them is 0; null labels, null ids and ids without a
     document are passed over. Without labels of both classes the list is empty and keeps everything.
     """
-    own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
+    own = only(labels, id_col, label_col).toDF("id", "label").withColumn("label", F.col("label").cast("int")).where("id IS NOT NULL AND label IS NOT NULL")
     if held_out is not None:
         own = own.where(fold("id") != held_out)
     own = sample_by_class(own.groupBy("id").agg(F.min("label").alias("label")), "label", "id", most, "rules")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(own), "id")
+    texts = only(docs, id_col, text_col).toDF("id", "text").join(F.broadcast(own), "id")
     seen = with_ratios(text_stats(texts, ["id", "label"]).where(f"NOT {BASE_FAILED}")).groupBy("id").agg(*[F.first(c).alias(c) for c in ("label", *RATIOS)])
     # one row per sampled label at most: bounded by `most` times the number of label values
     got = seen.orderBy("id").toPandas()
@@ -148,15 +149,14 @@ def apply_rules(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text
     A null or empty text has no words and fails the base. Null and repeated ids keep their rows, as do repeated
     rows; columns of other names play no part. Texts are read whole.
     """
-    rows = with_ratios(text_stats(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"]))
+    rows = with_ratios(text_stats(only(docs, id_col, text_col).toDF("doc_id", "text"), ["doc_id"]))
     rows = rows.withColumn("base_failed", F.expr(BASE_FAILED))
     return rows.select("doc_id", *NAMES, "base_failed", fired(rules).alias("rule"), (~F.col("base_failed") & verdict(rules)).alias("kept"))
 
 
 def kept_rows(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """The rows of `docs` that the base and the list keep, with their own columns, in one pass and without a join."""
-    names = docs.columns
-    own = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    rows = with_ratios(text_stats(own, own.columns, f"_c{names.index(text_col)}"))
+    own = placed(docs)
+    rows = with_ratios(text_stats(own, own.columns, place(docs, text_col)))
     rows = rows.where(~F.expr(BASE_FAILED) & verdict(rules))
-    return rows.select(*own.columns).toDF(*names)
+    return rows.select(*own.columns).toDF(*docs.columns)
