@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandweave.llm.columns import only
 from strandweave.runtime import cut
 
 #: Records to an archive file, and children to a tree node as a power of two.
@@ -36,23 +38,32 @@ def records(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", pay
     A slot is the record's place in the order of all records: its id, or for a null id a negative number from
     the record's own hash. per_archive slots that follow one another make an archive.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("_id"), record_bytes(F.col(id_col), F.col(uri_col), F.col(payload_col)).alias("record"))
+    own = only(pages, id_col, uri_col, payload_col).toDF("id", "uri", "payload")
+    rows = own.select(F.col("id").cast("long").alias("_id"), record_bytes(F.col("id"), F.col("uri"), F.col("payload")).alias("record"))
     slot = F.coalesce("_id", -1 - F.pmod(F.xxhash64("record"), F.lit(1 << 40)))
     return rows.select(slot.alias("slot"), F.floor(slot / per_archive).alias("archive"), "record")
 
 
-def leaves(recs: DataFrame) -> DataFrame:
-    """(slot, archive, digest, first, last): a row for each slot, with its range of bytes [first, last) in its archive.
+def leaves(recs: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(slot, archive, record, first, last, digest): a row for each slot, with its range of bytes [first, last) in its archive.
 
-    Records of one slot (repeated rows or ids) lie side by side and are hashed in the order of their digests.
-    Records are hashed where they are read; only digests and lengths are shuffled. An archive's offsets add up
-    in one task, over per_archive narrow rows if ids are distinct.
+    The range is where the record lies, or what a stored `index` (slot, first, last) says, null if it has no such
+    slot. `record` is the digest of the bytes, `digest` that of slot, range and record, so a damaged offset is as
+    plain as a damaged byte. Records of one slot (repeated rows or ids) lie side by side and are hashed in the
+    order of their digests. Records are hashed where they are read; only digests and lengths are shuffled. An
+    archive's offsets add up in one task, over per_archive narrow rows if ids are distinct.
     """
     hashed = recs.select("slot", "archive", F.sha2("record", 256).alias("d"), F.octet_length("record").cast("long").alias("size"))
     by_slot = hashed.groupBy("archive", "slot").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("d").alias("d"), F.sort_array(F.collect_list("d")).alias("ds"))
-    by_slot = by_slot.withColumn("digest", F.when(F.col("n") == 1, F.col("d")).otherwise(F.sha2(F.array_join("ds", ""), 256)))
-    last = F.expr("sum(size) OVER (PARTITION BY archive ORDER BY slot ROWS UNBOUNDED PRECEDING)")
-    return by_slot.select("slot", "archive", "digest", (last - F.col("size")).alias("first"), last.alias("last"))
+    by_slot = by_slot.withColumn("record", F.when(F.col("n") == 1, F.col("d")).otherwise(F.sha2(F.array_join("ds", ""), 256)))
+    if index is None:
+        last = F.expr("sum(size) OVER (PARTITION BY archive ORDER BY slot ROWS UNBOUNDED PRECEDING)")
+        rows = by_slot.select("slot", "archive", "record", (last - F.col("size")).alias("first"), last.alias("last"))
+    else:
+        stored = index.groupBy(F.col("slot").alias("_slot")).agg(F.min(F.struct("first", "last")).alias("at"))
+        rows = by_slot.join(stored, F.col("slot") == F.col("_slot"), "left").select("slot", "archive", "record", "at.first", "at.last")
+    said = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("slot", "first", "last", "record")]
+    return rows.withColumn("digest", F.sha2(F.concat_ws(":", *said), 256))
 
 
 def tree(leaf: DataFrame, fan_bits: int = FAN_BITS) -> list[DataFrame]:
@@ -83,14 +94,19 @@ def _differ(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def audit(ours: DataFrame, theirs: DataFrame, fan_bits: int = FAN_BITS) -> DataFrame:
-    """(slot, archive, first, last, status): a row for each slot at which two replicas' records differ.
+    """What audit_leaves() finds between the leaves of two replicas' records, as records() makes them."""
+    return audit_leaves(cut(leaves(ours)), cut(leaves(theirs)), fan_bits)
+
 
-    `ours` and `theirs` are as records() makes them. status is `changed`, `missing` (ours only) or `extra`
-    (theirs only); the range is ours, or theirs for an extra. Roots are compared first, then only the children
+def audit_leaves(leaf_a: DataFrame, leaf_b: DataFrame, fan_bits: int = FAN_BITS) -> DataFrame:
+    """(slot, archive, first, last, status): a row for each slot at which two replicas differ, from cut leaves() of each.
+
+    status is `changed`, `missing` (the first only), `extra` (the second only) or `moved`: the same bytes at
+    another range, as where a stored offset is damaged or a record before it in the archive has another length.
+    The range is the first's, or the second's for an extra. Roots are compared first, then only the children
     of nodes that differ; equal replicas, two empty ones included, end at the root. The comparison below a
     level reads that level's digests and the nodes that differ above it, never records.
     """
-    leaf_a, leaf_b = cut(leaves(ours)), cut(leaves(theirs))
     tree_a, tree_b = tree(leaf_a, fan_bits), tree(leaf_b, fan_bits)
     out = "slot long, archive long, first long, last long, status string"
     if len(tree_a) == 1 and "slot" in tree_a[0].columns or len(tree_b) == 1 and "slot" in tree_b[0].columns:
@@ -110,12 +126,12 @@ def audit(ours: DataFrame, theirs: DataFrame, fan_bits: int = FAN_BITS) -> DataF
             some = [t[k].join(above, F.shiftright("node", fan_bits) == F.col("up"), "left_semi") for t in (tree_a, tree_b)]
             bad = cut(_differ(*some))
     if bad.isEmpty():
-        return ours.sparkSession.createDataFrame([], out)
+        return leaf_a.sparkSession.createDataFrame([], out)
     bad = bad.withColumnRenamed("node", "slot")
-    a = leaf_a.join(bad, "slot", "left_semi").select("slot", F.struct("archive", "first", "last").alias("a"))
-    b = leaf_b.join(bad, "slot", "left_semi").select("slot", F.struct("archive", "first", "last").alias("b"))
+    a = leaf_a.join(bad, "slot", "left_semi").select("slot", F.struct("archive", "first", "last", "record").alias("a"))
+    b = leaf_b.join(bad, "slot", "left_semi").select("slot", F.struct("archive", "first", "last", "record").alias("b"))
     both = a.join(b, "slot", "full_outer")
-    status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("changed")
+    status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").when(F.col("a.record") == F.col("b.record"), "moved").otherwise("changed")
     return both.select("slot", F.coalesce("a", "b").alias("at"), status.alias("status")).select("slot", "at.*", "status").select("slot", "archive", "first", "last", "status")
 
 
@@ -151,14 +167,45 @@ def parse(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
         at = end
 
 
+def members(content: bytes, step: int = 1 << 16) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, bytes) of each gzip member; a damaged one is passed over up to the next that begins like one."""
+    at = content.find(b"\x1f\x8b\x08")
+    while at >= 0:
+        inflate, out, to = zlib.decompressobj(31), [], at
+        try:
+            while not inflate.eof and to < len(content):
+                out.append(inflate.decompress(content[to : to + step]))
+                to += step
+        except zlib.error:
+            pass
+        if inflate.eof:
+            end = min(to, len(content)) - len(inflate.unused_data)
+            yield at, end - at, b"".join(out)
+            at = end - 1
+        at = content.find(b"\x1f\x8b\x08", at + 1)
+
+
+def _spots(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    if content[:2] != b"\x1f\x8b":
+        yield from parse(content)
+        return
+    for at, size, whole in members(content):
+        for _, _, heads, payload in parse(whole):
+            yield at, size, heads, payload
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, length, uri, payload) of the records in the uncompressed WARC files under `path`."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").option("recursiveFileLookup", "true").load(path)
+    """(file, offset, length, uri, payload) of the records in the files *.warc and *.warc.gz under `path`.
+
+    In a compressed file a record's place is that of its gzip member. A file is read whole by one task and may
+    have 2 GB, as Spark's binary files have; a damaged stretch is passed over.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").option("recursiveFileLookup", "true").load(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = list(parse(content or b""))
+                found = list(_spots(content or b""))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([file] * len(found), pa.string()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2].get("warc-target-uri") for f in found], pa.string()), pa.array([f[3] for f in found], pa.binary())],
                     ["file", "offset", "length", "uri", "payload"],

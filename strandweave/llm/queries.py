@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.llm import ann, bpe, decision_list, empirical_bayes, langid, line_dedup, merkle, mixing, simhash, token_counts
-from strandweave.runtime import table
+from strandweave.runtime import cut, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -23,7 +23,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents")
     model = langid.fit(langid.held_in(docs))
     return langid.identify(docs, model)
 
@@ -48,9 +48,17 @@ def _damaged(pages: DataFrame) -> DataFrame:
     return pages.where((fault != "02") | fault.isNull()).withColumn("html", F.when(fault == "00", flipped).when(fault == "01", halved).otherwise(html))
 
 
+def _damaged_index(leaf: DataFrame) -> DataFrame:
+    """The replica's stored offsets: those of the original, some of them off by a byte."""
+    fault = F.substring(F.md5(F.col("slot").cast("string").cast("binary")), 1, 2)
+    return leaf.select("slot", (F.col("first") + F.when(fault == "03", 1).otherwise(0)).alias("first"), "last")
+
+
 def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    found = merkle.audit(merkle.records(pages), merkle.records(_damaged(pages)))
+    ours = cut(merkle.leaves(merkle.records(pages)))
+    theirs = cut(merkle.leaves(merkle.records(_damaged(pages)), _damaged_index(ours)))
+    found = merkle.audit_leaves(ours, theirs)
     return found.select(F.col("slot").alias("page_id"), "archive", F.col("first").alias("first_byte"), F.col("last").alias("end_byte"), "status")
 
 
@@ -62,9 +70,9 @@ WITH r AS (
   FROM pages),
 o AS (SELECT *, CAST(sum(size) OVER (PARTITION BY archive ORDER BY page_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS end_byte FROM r)
 SELECT page_id, CAST(archive AS BIGINT) AS archive, CAST(end_byte - size AS BIGINT) AS first_byte, end_byte,
-  CASE WHEN fault = '02' THEN 'missing' ELSE 'changed' END AS status
+  CASE fault WHEN '02' THEN 'missing' WHEN '03' THEN 'moved' ELSE 'changed' END AS status
 FROM o
-WHERE fault = '02' OR fault = '00' AND right(html, 1) != '~' OR fault = '01' AND length(html) > 0
+WHERE fault IN ('02', '03') OR fault = '00' AND right(html, 1) != '~' OR fault = '01' AND length(html) > 0
 """
 
 
