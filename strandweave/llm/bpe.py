@@ -1,11 +1,12 @@
 """Byte-level BPE: overlapping chunks are pre-tokenised apart, stitched where they agree, then encoded.
 
-Texts of up to `chunk` code points are one chunk. Longer ones are cut every `chunk` code points; each chunk
-also holds the first `overlap` code points of the next. Each is pre-tokenised alone, from wherever it begins.
+Texts are cut every `chunk` code points; each chunk also holds the first `overlap` code points of the next, and
+a text that is no longer is one chunk. Each is pre-tokenised alone, from wherever it begins.
 A boundary that the chunk before and the chunk itself both find in their overlap is a true one, and from
 there on both cut alike, as the pattern looks ahead only. The text between two such places is a piece that
 can be encoded by itself. Where a seam has no common boundary (one run of letters without end), the chunks on
-both sides are joined and encoded as one piece, so ids never depend on where chunks lie.
+both sides are joined and encoded as one piece, so ids never depend on where chunks lie. The chunks of a text of up
+to `spread` code points are handled by the task that reads it; those of longer texts are spread over tasks.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandweave.llm.arrow import mapper, sliced, texts
+from strandweave.llm.columns import only
 
-CHUNK, OVERLAP = 1 << 15, 1 << 10
+CHUNK, OVERLAP, SPREAD = 1 << 11, 1 << 8, 1 << 17
 _made: dict[tuple[int, str], tuple[tiktoken.Encoding, list[bytes]]] = {}
 
 
@@ -44,41 +46,59 @@ def _vocabulary(raw: bytes, pattern: str) -> tuple[tiktoken.Encoding, list[bytes
     return _made[key]
 
 
-def boundaries(text: str, pattern: str, first: int, last: int) -> list[int]:
-    """Where pre-tokens begin in text[first:last], but for places after white space, where a cut would change the match before it, and for the last pre-token, which more text might change."""
-    out, matches = [], regex.compile(pattern).finditer(text)
-    before = None
-    for m in matches:
-        if before is not None and m.end() < len(text) and first <= m.start() < last and not text[m.start() - 1].isspace():
-            out.append(m.start())
-        before = m
-        if m.start() >= last:
-            break
-    return out
+def seams(text: str, pattern: str, chunk: int, overlap: int) -> tuple[list[int], list[int]]:
+    """Where pre-tokens begin in the first `overlap` places of a chunk's text, and in those past `chunk`.
+
+    Left out are places after white space, where a cut would change the match before it, and the last pre-token,
+    which more text might change.
+    """
+    head, tail, end = [], [], len(text)
+    for m in regex.compile(pattern).finditer(text):
+        at, to = m.span()
+        if overlap <= at < chunk or not at or to == end or text[at - 1].isspace():
+            continue
+        if at < overlap:
+            head.append(at)
+        if at >= chunk:
+            tail.append(at)
+    return head, tail
+
+
+def pieces_of(text: str, pattern: str, chunk: int, overlap: int) -> list[str]:
+    """The text in pieces that can be encoded by themselves: cut at the first place of each seam that both its chunks find."""
+    cuts, before = [0], []
+    for at in range(0, len(text) if len(text) > chunk else 0, chunk):
+        head, tail = seams(text[at : at + chunk + overlap], pattern, chunk, overlap)
+        both = set(before).intersection(head)
+        if at and both:
+            cuts.append(at + min(both))
+        before = [t - chunk for t in tail]
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], None])]
 
 
 def _packed(ids: list[int]) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
-def encode(docs: DataFrame, ranks: Broadcast, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, ranks: Broadcast, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD) -> DataFrame:
     """(doc_id, n_tokens, ids): a row for each row of `docs`; ids are little-endian unsigned 32-bit numbers.
 
     A null text counts as empty and has no ids. Bytes that aren't UTF-8 count as U+FFFD. Null and repeated ids
-    and repeated rows keep their rows; columns of other names play no part. No text is cut short: long ones
-    are encoded piece by piece in several tasks.
+    and repeated rows keep their rows; columns of other names play no part. No text is cut short: every one is
+    encoded piece by piece, those of over `spread` code points in several tasks.
     """
-    kind = dict(docs.select(id_col).dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = only(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    kind = dict(rows.dtypes)["doc_id"]
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder, _ = _vocabulary(ranks.value, pattern)
-        ids = [encoder.encode_ordinary(t.decode("utf-8", "replace")) for t in texts(batch.column(1))]
+        cut = [pieces_of(t.decode("utf-8", "replace"), pattern, chunk, overlap) for t in texts(batch.column(1))]
+        ids = [[i for p in pieces for i in encoder.encode_ordinary(p)] if len(pieces) > 1 else encoder.encode_ordinary(pieces[0]) for pieces in cut]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array([_packed(i) for i in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     schema = f"doc_id {kind}, n_tokens long, ids binary"
-    short = rows.where(F.length("text") <= chunk).mapInArrow(mapper(whole), schema)
-    return short.unionByName(_encode_long(rows.where(F.length("text") > chunk), ranks, pattern, chunk, overlap, kind))
+    short = rows.where(F.length("text") <= spread).mapInArrow(mapper(whole), schema)
+    return short.unionByName(_encode_long(rows.where(F.length("text") > spread), ranks, pattern, chunk, overlap, kind))
 
 
 def _encode_long(rows: DataFrame, ranks: Broadcast, pattern: str, chunk: int, overlap: int, kind: str) -> DataFrame:
@@ -92,9 +112,9 @@ def _encode_long(rows: DataFrame, ranks: Broadcast, pattern: str, chunk: int, ov
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         heads, tails = [], []
         for k, text in zip(batch.column(4).to_pylist(), texts(batch.column(5))):
-            text = text.decode("utf-8", "replace")
-            heads.append([k * chunk + b for b in boundaries(text, pattern, 0, overlap)] if k else [])
-            tails.append([k * chunk + b for b in boundaries(text, pattern, chunk, chunk + overlap)])
+            head, tail = seams(text.decode("utf-8", "replace"), pattern, chunk, overlap)
+            heads.append([k * chunk + b for b in head] if k else [])
+            tails.append([k * chunk + b for b in tail])
         places = pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, places), pa.array(tails, places)], [*batch.schema.names, "head", "tail"])
 
