@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm.arrow import mapper, texts
+from strandweave.llm.columns import only, place, placed
 from strandweave.llm.components import components
 from strandweave.runtime import cut, join_hot
 
@@ -58,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         prints = np.array([fingerprint(t, shingle) for t in texts(batch.column(1))], dtype=np.uint64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *keep])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
+    rows = only(docs, id_col, text_col, *keep).toDF("doc_id", "text", *keep).withColumn("doc_id", F.col("doc_id").cast("long"))
     return rows.mapInArrow(mapper(one), ", ".join(["doc_id long, fp long", *(f"{k} long" for k in keep)]))
 
 
@@ -281,10 +282,14 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row of `docs` for each component, with its own columns: that of the least id, nulls last.
 
     Rows of that id with different texts are told apart by a hash of the text, and of equal rows one stays.
+    Null and empty texts count as in near_duplicates(). Columns keep their names, whatever these are; an empty
+    table gives an empty result.
     """
-    marks = {f"_k{i}": F.xxhash64(F.lit(i), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(text_col)) for i in (1, 2)}
-    marked = docs.withColumns(marks)
-    rows = cut(fingerprints(marked, id_col, text_col, shingle, list(marks)))
+    own, names = placed(docs), docs.columns
+    ident, text = place(docs, id_col), place(docs, text_col)
+    marks = {f"_k{i}": F.xxhash64(F.lit(i), F.coalesce(F.col(ident).cast("string"), F.lit("null")), F.col(text)) for i in (1, 2)}
+    marked = own.withColumns(marks)
+    rows = cut(fingerprints(marked, ident, text, shingle, list(marks)))
     classes = _classes(rows, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *marks)), threshold)
     chosen = classes.groupBy("root").agg(F.min("least").alias("least")).select("least._k1", "least._k2")
-    return marked.join(chosen, list(marks), "left_semi").dropDuplicates(list(marks)).select(*docs.columns)
+    return marked.join(chosen, list(marks), "left_semi").dropDuplicates(list(marks)).select(*own.columns).toDF(*names)
