@@ -1,6 +1,7 @@
 """Each training-data operator against SQL or a brute-force version, and its defined results for odd input."""
 
 import base64
+import gzip
 import hashlib
 import random
 import zlib
@@ -150,7 +151,7 @@ def test_language_of_held_out_documents(spark, docs, odd, none):
 
 def test_unseen_words_back_off_to_shorter_grams():
     rows = lambda *v: np.array(v, dtype=float)
-    model = langid.Model(["a", "b"], {"known": rows(-1, -9)}, [{"z": rows(-5, -2)}, {"zz": rows(-1, -7)}], rows(-20, -20))
+    model = langid.Model.of(["a", "b"], {"known": rows(-1, -9)}, [{"z": rows(-5, -2)}, {"zz": rows(-1, -7)}], rows(-20, -20))
     assert model.word_score("known").tolist() == [-1, -9]
     assert model.word_score("zz").tolist() == [(-20 - 1 - 5 - 20) / 4, (-20 - 7 - 2 - 20) / 4]
     assert model.predict("zz known")[0] == "a" and model.predict("77 ")[0] == "und"
@@ -211,19 +212,27 @@ def test_bpe_matches_the_library(spark, docs, tokens):
     assert got == {d.doc_id: digests(tokens, d.text) for d in docs.collect()}
 
 
+@pytest.mark.parametrize("spread", [100, 10_000])
 @pytest.mark.parametrize("chunk,overlap", [(64, 16), (50, 50), (7, 3)])
-def test_bpe_stitches_chunks(spark, tokens, chunk, overlap):
+def test_bpe_stitches_chunks(spark, tokens, chunk, overlap, spread):
     rng = random.Random(chunk)
     parts = ["don't", " we'll", "  \n\n", "\n", " ", "\t\t x", "aaaa" * 30, " 12345", "!!!", "é漢字", "😀", " ", "'s", "word", " word", " \r\n "]
     rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 120)))) for i in range(150)] + [(150, None), (151, "q" * 500), (None, " " * 300), (0, "other " * 40)]
     rows += rows[:3]
     vocabulary = bpe.load(spark, queries.RANKS)
-    out = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap)
+    out = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap, spread=spread)
     both = bpe.decode(out.withColumn("own", F.col("ids")), vocabulary, public_tokenizers.PATTERN, ["doc_id", "n_tokens", "own"]).collect()
     got = Counter((r.doc_id, r.n_tokens, hashlib.sha256(r.own).hexdigest(), hashlib.sha256(r.decoded).hexdigest()) for r in both)
     assert got == Counter((i, *digests(tokens, t)) for i, t in rows)
 
 
+def test_most_texts_are_stitched(docs):
+    long = [d.text for d in docs.collect() if d.text and len(d.text) > bpe.CHUNK]
+    pieces = [bpe.pieces_of(t, public_tokenizers.PATTERN, bpe.CHUNK, bpe.OVERLAP) for t in long]
+    assert len(long) > 300 and sum(map(len, long)) > 0.6 * sum(len(d.text or "") for d in docs.collect())
+    assert all("".join(p) == t and (len(p) > 1 or len(t) <= bpe.CHUNK + bpe.OVERLAP) for p, t in zip(pieces, long))
+
+
 def test_bpe_odd_rows(spark, odd, none, tokens):
     vocabulary = bpe.load(spark, queries.RANKS)
     got = Counter((r.doc_id, r.n_tokens) for r in bpe.encode(odd, vocabulary, public_tokenizers.PATTERN).collect())
@@ -262,6 +271,18 @@ def test_fixity_of_odd_records(spark):
     assert {r.status for r in merkle.audit(ours, none).collect()} == {"missing"} and merkle.audit(none, ours).count() == 5
 
 
+def test_a_damaged_offset_index_is_seen(spark):
+    recs = merkle.records(spark.createDataFrame([(i, "u", "x" * i) for i in range(400)], "page_id long, url string, html string"), per_archive=100)
+    leaf = merkle.leaves(recs).cache()
+    index = leaf.select("slot", (F.col("first") + F.when(F.col("slot") == 77, 1).otherwise(0)).alias("first"), "last").where("slot != 300")
+    got = merkle.audit_leaves(leaf, merkle.leaves(recs, index)).collect()
+    assert {(r.slot, r.status) for r in got} == {(77, "moved"), (300, "moved")}
+    assert merkle.audit_leaves(leaf, merkle.leaves(recs, leaf.select("slot", "first", "last"))).count() == 0
+    # a longer record moves those after it in its archive
+    longer = merkle.records(spark.createDataFrame([(i, "u", "x" * (i + (i == 97))) for i in range(400)], "page_id long, url string, html string"), per_archive=100)
+    assert {(r.slot, r.status) for r in merkle.audit(recs, longer).collect()} == {(97, "changed"), (98, "moved"), (99, "moved")}
+
+
 def test_archives_round_trip(spark, tmp_path):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     recs = merkle.records(pages, per_archive=100)
@@ -270,6 +291,13 @@ def test_archives_round_trip(spark, tmp_path):
         (tmp_path / f"{r.archive}.warc").write_bytes(r.content)
     back = merkle.read_archives(spark, str(tmp_path)).collect()
     assert sorted((r.uri, r.payload.decode()) for r in back) == sorted((p.url, p.html) for p in pages.collect())
+    for r in made:
+        starts = [(at, size) for at, size, _, _ in merkle.parse(r.content)]
+        (tmp_path / f"{r.archive}.warc.gz").write_bytes(b"".join(gzip.compress(r.content[a : a + n]) for a, n in starts) + b"\x1f\x8b\x08junk")
+    packed = [r for r in merkle.read_archives(spark, str(tmp_path)).collect() if r.file.endswith(".gz")]
+    assert sorted((r.uri, r.payload) for r in packed) == sorted((r.uri, r.payload) for r in back)
+    for r in packed[:20]:
+        assert r.payload in gzip.decompress((tmp_path / r.file.rsplit("/", 1)[1]).read_bytes()[r.offset : r.offset + r.length])
     spots = {(f"{r.archive}.warc", r["first"], r["last"] - r["first"]) for r in merkle.leaves(recs).collect()}
     assert spots == {(r.file.rsplit("/", 1)[1], r.offset, r.length) for r in back}
     assert list(merkle.parse(b"junk" + made[0].content[:200])) == []
@@ -307,11 +335,15 @@ def test_search_recall(spark):
 
 
 def test_search_odd_vectors(spark):
-    kind = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("list", T.StringType())])
-    rows = [(0, [1.0, 0.0], "x"), (1, [1.0, 0.0], "x"), (2, [2.0, 0.0], "x"), (2, [2.0, 0.0], "x"), (3, [0.0, 0.0], "x"), (4, None, "x"), (5, [1.0, None], "x"), (6, [float("nan"), 1.0], "x"), (7, [1.0, 0.0, 0.0], "x"), (8, [-1.0, 0.0], "x"), (None, [1.0, 0.0], "x"), (50, [0.0, 3.0], "x"), (9, [], "x")]
-    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(spark.createDataFrame(rows, kind), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 50, 0.0), (0, 4, 8, -1.0), (50, 1, 0, 0.0), (50, 2, 1, 0.0), (50, 3, 2, 0.0), (50, 4, 8, 0.0)]
-    assert ann.search(spark.createDataFrame([], kind), F.col("vec_id") % 50 == 0).count() == 0
+    kind = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("list", T.StringType()), T.StructField("VEC_ID", T.LongType())])
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [1.0, 0.0, 0.0]), (8, [-1.0, 0.0]), (None, [1.0, 0.0]), (50, [0.0, 3.0]), (9, []), (100, [0.0, 2.0, 0.0])]
+    found = lambda rows: [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(spark.createDataFrame([(*r, "x", 1) for r in rows], kind), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
+    # both rows of id 2 count, and a vector of three numbers meets those of three
+    want = [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 2, 1.0), (0, 4, 50, 0.0), (0, 5, 8, -1.0), (50, 1, 0, 0.0), (50, 2, 1, 0.0), (50, 3, 2, 0.0), (50, 4, 2, 0.0), (50, 5, 8, 0.0), (100, 1, 7, 0.0)]
+    assert found(rows) == want
+    twice = found([(0, [1.0, 0.0]), (1, [0.9, 0.1]), (1, [1.0, 0.01]), (0, [1.0, 0.0])])
+    assert [(q, r, i) for q, r, i, _ in twice] == [(0, 1, 0), (0, 2, 1), (0, 3, 1)] and abs(twice[1][3] - 0.99995) < 1e-5 and abs(twice[2][3] - 0.99388) < 1e-5
+    assert found([]) == []
 
 
 def test_mixing_against_sql(spark):
@@ -330,12 +362,23 @@ def test_mixing_shares_and_odd_rows(spark, odd, none):
         if not over:
             break
         full |= over
+    assert list(mixing.targets(spark.createDataFrame(sizes, "source string, source_size long")).columns) == ["source", "source_size", "target"]
     assert all(abs(got[s] - share[s]) < 1e-6 for s in order) and abs(sum(got.values()) - asked) < 1e-6
     plan = mixing.planned(odd).collect()
     assert len(plan) == len(ODD) and all(0 <= r.copies <= 2 for r in plan)
     assert Counter((r.doc_id, r.size) for r in plan) == Counter((r[0], brute_stats(r[1])[0]) for r in ODD)
     assert mixing.mix(odd).columns == odd.columns and mixing.mix(odd).count() == sum(r.copies for r in plan)
     assert mixing.planned(none).count() == 0
+    # more sources than are broadcast
+    key = lambda r: repr(tuple(r))
+    assert sorted(mixing.planned(odd, few=0).collect(), key=key) == sorted(plan, key=key)
+    assert sorted(map(repr, mixing.mix(odd, few=0).collect())) == sorted(map(repr, mixing.mix(odd).collect()))
+
+
+def test_mixing_comes_near_its_targets(spark):
+    rows = spark.createDataFrame([(i, "w " * (1 + i % 7), f"s{i % 3}") for i in range(30_000)], "doc_id long, text string, source string")
+    by = mixing.planned(rows).groupBy("source_size").agg(F.first("target").alias("target"), F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()
+    assert len(by) == 3 and all(abs(r.taken / r.target - 1) < 0.03 for r in by)
 
 
 def test_statistics_of_nothing():
