@@ -15,9 +15,9 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One contraction: each node links its larger (large) or smaller (small) neighbours to the least one."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    )
+    # no union here: Spark 4.1 fails to carry a checkpoint's own constraints through one
+    ways = F.inline(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = edges.select(ways) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
     near = both.join(least, both["a"] == least["u"])
     out = near.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -16,13 +16,13 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm.arrow import mapper, texts
 from strandweave.llm.columns import only, place, placed
 from strandweave.llm.components import components
+from strandweave.llm.shared_shingles import arrays_of, chosen, hashes_of, set_id, set_links, with_partners
 from strandweave.runtime import cut, join_hot
 
 BITS = 64
@@ -34,33 +34,29 @@ _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bito
 _OFFSETS = (np.arange(8) * 256)[None, :]
 
 
-def fingerprint(text: bytes | None, shingle: int = 4) -> int:
-    """The SimHash of one text as an unsigned 64-bit number; 0 where there are no words."""
-    words = text.lower().split() if text else []
-    if not words:
+def print_of(hashes: np.ndarray) -> int:
+    """The SimHash of shingles' hashes: a bit is 1 if it is set in over half of them."""
+    if not len(hashes):
         return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip((ends - sizes).tolist(), ends[shingle - 1 :].tolist())], dtype="<u8")
     cells = hashes.view(np.uint8).reshape(-1, 8) + _OFFSETS
     counts = np.einsum("bv,bvk->bk", np.bincount(cells.ravel(), minlength=2048).reshape(8, 256), np.broadcast_to(_BYTE_BITS, (8, 256, 8)))
     return int(np.packbits((counts * 2 > len(hashes)).ravel(), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, fp) and the long columns `keep`: a row for each row of `docs`, fp being the signed form of the fingerprint."""
-    keep = keep or []
+def fingerprint(text: bytes | None, shingle: int = 4) -> int:
+    """The SimHash of one text as an unsigned 64-bit number; 0 where there are no words."""
+    return print_of(hashes_of(text, shingle))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+    """(doc_id, fp): a row for each row of `docs`, fp being the signed form of the fingerprint."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         prints = np.array([fingerprint(t, shingle) for t in texts(batch.column(1))], dtype=np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *keep])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
-    rows = only(docs, id_col, text_col, *keep).toDF("doc_id", "text", *keep).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(mapper(one), ", ".join(["doc_id long, fp long", *(f"{k} long" for k in keep)]))
+    rows = only(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.mapInArrow(mapper(one), "doc_id long, fp long")
 
 
 def _ball(width: int, radius: int) -> int:
@@ -255,13 +251,6 @@ def _linked(prints: DataFrame, chooser: Allocator, threshold: int) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _classes(rows: DataFrame, least: Column, threshold: int) -> DataFrame:
-    """(fp, n, least, root): a row for each fingerprint, `least` being over its rows."""
-    classes = cut(rows.groupBy("fp").agg(least.alias("least"), F.count("*").alias("n")))
-    roots = components(links(classes.select("fp"), threshold))
-    return classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, threshold: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id, class_rows): a row for each row of `docs`.
 
@@ -271,25 +260,70 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An empty table gives an empty result.
     """
     rows = cut(fingerprints(docs, id_col, text_col, shingle))
-    classes = cut(_classes(rows, F.min("doc_id"), threshold))
+    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    roots = components(links(classes.select("fp"), threshold))
+    classes = cut(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")))
     heads = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     side = classes.join(heads, "root").select("fp", "component_id", "n", F.col("n").alias("class_rows"))
     out = join_hot(rows, side, ["fp"], "n", max(1, rows.count()))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "class_rows")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, threshold: int = 4) -> DataFrame:
-    """One row of `docs` for each component, with its own columns: that of the least id, nulls last.
+def _described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(doc_id, _k1, _k2, fp, set, n): each row's fingerprint, the name of its set of shingles and their number."""
 
-    Rows of that id with different texts are told apart by a hash of the text, and of equal rows one stays.
-    Null and empty texts count as in near_duplicates(). Columns keep their names, whatever these are; an empty
-    table gives an empty result.
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        prints, names, sizes = [], [], []
+        for text in texts(batch.column(3)):
+            hashes = hashes_of(text, shingle)
+            distinct = np.unique(hashes)
+            prints.append(print_of(hashes))
+            names.append(set_id(distinct))
+            sizes.append(len(distinct))
+        columns = [np.array(prints, dtype=np.uint64).view(np.int64), np.array(names, dtype=np.int64), np.array(sizes, dtype=np.int64)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, columns)], ["doc_id", "_k1", "_k2", "fp", "set", "n"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), "_k1", "_k2", F.col(text_col).alias("text"))
+    return rows.mapInArrow(mapper(one), "doc_id long, _k1 long, _k2 long, fp long, set long, n long")
+
+
+def _roots(classes: DataFrame, set_pairs: DataFrame, threshold: int) -> DataFrame:
+    """(node, root) from classes (node, fp, set): nodes of one fingerprint or set are one, as are those of linked ones."""
+    edges = []
+    for column, pairs in (("fp", None), ("set", set_pairs)):
+        heads = cut(classes.groupBy(F.col(column).alias("value")).agg(F.min("node").alias("head")))
+        pairs = links(heads.select(F.col("value").alias("fp")), threshold) if pairs is None else pairs
+        edges.append(classes.join(heads, F.col(column) == F.col("value")).where("node != head").select("node", "head"))
+        ends = [heads.select(F.col("value").alias(e), F.col("head").alias(f"h{e}")) for e in "ab"]
+        edges.append(pairs.join(ends[0], "a").join(ends[1], "b").select("ha", "hb"))
+    whole = edges[0]
+    for e in edges[1:]:
+        whole = whole.union(e)
+    return components(whole.toDF("a", "b"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 4, similarity: float = 0.8) -> DataFrame:
+    """One row of `docs` for each component of near duplicates, with its own columns: that of the least id, nulls last.
+
+    Two texts are linked if their fingerprints differ in `threshold` bits or fewer, or if their sets of
+    `shingle` words have the Jaccard similarity `similarity` or more. At 0.8 that is 5 to 13 bits of 64, too wide for
+    any partition of them, so these links come from shared shingles and are exact. Rows of one id with
+    different texts are told apart by a hash of the text, and of equal rows one stays. Null and empty texts and
+    those of white space are one component; a shorter text is one shingle. A component whose ids are all null
+    keeps one row, that of the least hash. Columns keep their names, whatever these are; an empty table gives
+    an empty result.
     """
     own, names = placed(docs), docs.columns
     ident, text = place(docs, id_col), place(docs, text_col)
     marks = {f"_k{i}": F.xxhash64(F.lit(i), F.coalesce(F.col(ident).cast("string"), F.lit("null")), F.col(text)) for i in (1, 2)}
     marked = own.withColumns(marks)
-    rows = cut(fingerprints(marked, ident, text, shingle, list(marks)))
-    classes = _classes(rows, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *marks)), threshold)
-    chosen = classes.groupBy("root").agg(F.min("least").alias("least")).select("least._k1", "least._k2")
-    return marked.join(chosen, list(marks), "left_semi").dropDuplicates(list(marks)).select(*own.columns).toDF(*names)
+    rows = cut(_described(marked, ident, text, shingle))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *marks)).alias("least")
+    classes = cut(rows.groupBy("fp", "set", "n").agg(least).withColumn("node", F.xxhash64("fp", "set")))
+    sets = classes.groupBy("set", "n").agg(F.min("least").alias("least"))
+    some = cut(with_partners(marked, sets, text, shingle, similarity))
+    arrays = cut(arrays_of(chosen(marked, some.select("least._k1", "least._k2"), list(marks)), text, shingle))
+    roots = _roots(classes, cut(set_links(arrays, similarity)), threshold)
+    rooted = classes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node"))
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select("least._k1", "least._k2")
+    return marked.join(kept, list(marks), "left_semi").dropDuplicates(list(marks)).select(*own.columns).toDF(*names)
