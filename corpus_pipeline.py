@@ -26,14 +26,20 @@ def _only(docs: DataFrame, keys: DataFrame, key: dict[str, str]) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned list keep; their columns are unchanged.
 
-    The list is learned from the labels of documents in `docs`. A null or empty text is rejected.
+    The list is learned from the labels of documents in `docs` outside the held-out fold. A null or empty text is
+    rejected. Null and repeated ids and repeated rows are judged by their own text and keep their rows; no rows
+    give none.
     """
     rules = decision_list.fit(docs, table(spark, sf_dir, "labels"))
     return decision_list.kept_rows(docs, rules).select(*COLUMNS)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, rid of later occurrences of windows of three lines; n_chars follows the text."""
+    """All documents, rid of later occurrences of windows of three lines; n_chars follows the text.
+
+    A null text stays null, an empty one empty. Ties go by id (nulls first), then by a hash of the text: the
+    first place keeps its lines. Rows of one id and text are one document and all stay; no rows give none.
+    """
     out = line_dedup.dedup_lines(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
@@ -41,20 +47,29 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest id.
 
-    Rows with that id but another text (or the same row repeated) come down to one by the text's hash. A group
-    whose ids are all null keeps one row, that of the least hash.
+    Five words a shingle; texts are linked within 4 bits of their fingerprints, and at a similarity of 0.8 or
+    more of their shingles. Rows with that id but another text (or the same row repeated) come down to one by
+    the text's hash. A group whose ids are all null keeps one row, that of the least hash. Null and empty texts
+    are one group; no rows give none.
     """
     rows = docs.select(*COLUMNS)
-    return simhash.representatives(rows).select(*COLUMNS)
+    return simhash.representatives(rows, shingle=5, threshold=4, similarity=0.8).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's rate says."""
+    """Each document as often as its source's rate says.
+
+    A null text has size 0, an empty one too; the null source is a source. Rows of equal or null id share their
+    number and so their copies, and repeated rows count one by one. No rows give none.
+    """
     return mixing.mix(docs.select(*COLUMNS))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row, copies included."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row, copies and rows of null or repeated id included.
+
+    A null or empty text has no tokens; no rows give none.
+    """
     ranks = bpe.load(spark, RANKS)
     encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
     both = bpe.decode(encoded.withColumn("_all", F.col("ids")), ranks, public_tokenizers.PATTERN, ["doc_id", "n_tokens", "_all"])
