@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions.text import line_count, shingles, union_all
+from strandweave.runtime import cut, join_hot
 
 MAX_BYTES, BINARY_PREFIX = 2_000_000, 8192
 
@@ -25,6 +26,7 @@ def file_facts(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
 def scan_counts(facts: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     return facts.agg(
         F.count("*").alias("files"),
+        F.count_if(F.col("size").isNull()).alias("unreadable"),
         F.sum("size").alias("bytes"),
         F.count_if(F.col("size") > max_bytes).alias("over_cap"),
         F.count_if("is_binary").alias("binaries"),
@@ -33,9 +35,25 @@ def scan_counts(facts: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
 
 
 def exact_dup_groups(facts: DataFrame) -> DataFrame:
-    """(subrepo, hash, files, n, loc): files of equal content within one sub-repository; loc is the first one's."""
+    """(subrepo, hash, first, n, loc): contents that several files of one sub-repository have; loc is the first file's."""
     own = facts.where("hash IS NOT NULL").groupBy("subrepo", "hash")
-    return own.agg(F.sort_array(F.collect_list("rel")).alias("files"), F.count("*").alias("n"), F.min_by("lines", "rel").alias("loc")).where("n > 1")
+    return own.agg(F.min("rel").alias("first"), F.count("*").alias("n"), F.min_by("lines", "rel").alias("loc")).where("n > 1")
+
+
+def dup_members(facts: DataFrame) -> DataFrame:
+    """(subrepo, hash, rel, first, n, loc): a row for each file of each group, in report order if sorted by waste_order().
+
+    A content that a third of all files have meets its files by broadcast, so no group lies in one task.
+    """
+    rows = cut(facts.where("hash IS NOT NULL").select("subrepo", "hash", "rel", "lines"))
+    groups = cut(exact_dup_groups(rows))
+    joined = join_hot(rows.drop("lines"), groups.withColumn("_n", F.col("n")), ["subrepo", "hash"], "_n", max(1, rows.count()))
+    return joined.where("first IS NOT NULL").select("subrepo", "hash", "rel", "first", "n", "loc")
+
+
+def waste_order() -> list[Column]:
+    """The order of a report's groups: the most wasted lines first, then by place and first file."""
+    return [F.desc((F.col("n") - 1) * F.col("loc")), F.asc("subrepo"), F.asc("first")]
 
 
 def dup_counts(facts: DataFrame) -> DataFrame:
@@ -77,26 +95,34 @@ def near_dup_pairs(files: DataFrame, threshold: float = 0.85, splitter: str = "\
 
 
 def clone_groups(bodies: DataFrame, least_lines: int = 6) -> DataFrame:
-    """(body_hash, sites, lines, names) of bodies (file, name, line, body, lines) that occur at two places or more."""
+    """(body_hash, sites, lines, first) of bodies (file, name, line, body, lines) that occur at two places or more; first is the least place."""
     own = bodies.where(F.col("lines") >= least_lines).withColumn("body_hash", F.sha2(F.col("body").cast("binary"), 256))
-    sites = F.sort_array(F.collect_list(F.struct("file", "name", "line")))
-    return own.groupBy("body_hash").agg(F.count("*").alias("sites"), F.first("lines").alias("lines"), sites.alias("names")).where("sites > 1")
+    return own.groupBy("body_hash").agg(F.count("*").alias("sites"), F.first("lines").alias("lines"), F.min(F.struct("file", "name", "line")).alias("first")).where("sites > 1")
+
+
+def clone_sites(bodies: DataFrame, least_lines: int = 6) -> DataFrame:
+    """(body_hash, file, name, line, sites, lines): a row for each place of each clone; hot bodies are broadcast to their places."""
+    own = cut(bodies.where(F.col("lines") >= least_lines).select(F.sha2(F.col("body").cast("binary"), 256).alias("body_hash"), "file", "name", "line", "lines"))
+    groups = cut(own.groupBy("body_hash").agg(F.count("*").alias("sites")).where("sites > 1").withColumn("_n", F.col("sites")))
+    return join_hot(own, groups, ["body_hash"], "_n", max(1, own.count())).where("sites IS NOT NULL").select("body_hash", "file", "name", "line", "sites", "lines")
 
 
-def lean_metrics(tree_counts: DataFrame, facts: DataFrame) -> DataFrame:
+def lean_metrics(tree_counts: DataFrame, facts: DataFrame, dead: DataFrame | None = None, misplaced: DataFrame | None = None) -> DataFrame:
     """One row: files, composites, empty composites (from the tree's (kind, files, is_root)), duplicates and the score.
 
-    What wasn't measured (dead symbols, misplaced files) is null, not 0.
+    `dead` and `misplaced` are counted where a graph gives them; what wasn't measured is null, not 0.
     """
     tree = tree_counts.agg(
         F.count_if(F.col("kind") == "atom").alias("files"),
         F.count_if(F.col("kind") == "composite").alias("composites"),
         F.count_if((F.col("kind") == "composite") & (F.col("files") == 0) & ~F.col("is_root")).alias("empty"),
     )
-    both = tree.crossJoin(dup_waste(facts)).crossJoin(mirrors(facts).agg(F.count("*").alias("mirrors")))  # three rows of one
+    counted = lambda df, name: tree.select(F.lit(None).cast("long").alias(name)) if df is None else df.agg(F.count("*").alias(name))
+    # five tables of one row
+    both = tree.crossJoin(dup_waste(facts)).crossJoin(mirrors(facts).agg(F.count("*").alias("mirrors"))).crossJoin(counted(dead, "dead")).crossJoin(counted(misplaced, "misplaced"))
     ratio = lambda a, b: F.when(F.col(b) == 0, 0.0).otherwise(F.col(a) / F.col(b))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (0.7 * ratio("dup_files", "files") + 0.3 * ratio("empty", "composites"))))
-    return both.select("files", "composites", "empty", "groups", "dup_files", "wasted_loc", "mirrors", score.alias("score"), F.lit(None).cast("long").alias("dead"), F.lit(None).cast("long").alias("misplaced"))
+    return both.select("files", "composites", "empty", "groups", "dup_files", "wasted_loc", "mirrors", score.alias("score"), "dead", "misplaced")
 
 
 def regressions(report: DataFrame, baseline: dict[str, float | None]) -> DataFrame:

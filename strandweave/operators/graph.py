@@ -9,31 +9,40 @@ from strandweave.functions.text import dir_of
 from strandweave.runtime import cut
 
 
+#: Rounds of a search after which the nodes seen so far are written as one table again.
+COMPACT = 8
+
+
 def bfs(edges: DataFrame, start: DataFrame, depth: int | None, keep_start: bool = False, ordered: bool = False) -> DataFrame:
     """(node, depth) reached from `start` (node) along `edges` (src, dst); each node once, at its least depth.
 
-    One join a round, kept in the shared folder; `depth` None goes on until nothing is new. With `ordered` there
-    is also ord, the place in a queue-based search: by the parent's place, then by name.
+    The edges are computed once. One join a round, kept in the shared folder; `depth` None goes on until nothing
+    is new. With `ordered` there is also ord: numbers that rise, with gaps, in the order of a queue-based search
+    within a depth, by the parent's place, then by name. They are given range by range, not in one task.
     """
+    edges = cut(edges.select("src", "dst"))
     extra = [F.lit(0).cast("long").alias("ord")] if ordered else []
-    front = cut(start.select("node").distinct().select("node", F.lit(0).alias("depth"), *extra))
-    rounds, seen, k = [front], front.select("node"), 0
+    # the depth is added after each cut: Spark 4.1 fails to carry a checkpoint's own constraints through a union
+    front = cut(start.select("node").distinct().select("node", *extra))
+    rounds, seen, k = [front.withColumn("depth", F.lit(0))], front.select(F.col("node").alias("known")), 0
     while depth is None or k < depth:
         k += 1
         step = edges.join(front, edges["src"] == front["node"])
+        step = step.groupBy("dst").agg(F.min("ord").alias("parent")) if ordered else step.select("dst").distinct()
+        new = step.join(seen, F.col("dst") == F.col("known"), "left_anti").withColumnRenamed("dst", "node")
         if ordered:
-            step = step.groupBy("dst").agg(F.min("ord").alias("parent"))
-        new = step.select(F.col("dst").alias("node"), *(["parent"] if ordered else [])).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(k))
-        if ordered:
-            new = new.select("node", "depth", F.row_number().over(Window.orderBy("parent", "node")).cast("long").alias("ord"))
+            new = new.repartitionByRange("parent", "node").sortWithinPartitions("parent", "node").select("node", F.monotonically_increasing_id().alias("ord"))
         front = cut(new)
         if front.isEmpty():
             break
-        rounds.append(front)
-        seen = seen.union(front.select("node"))
-    out = rounds[0] if keep_start else rounds[0].limit(0)
+        rounds.append(front.withColumn("depth", F.lit(k)))
+        seen = seen.union(front.select(F.col("node").alias("known")))
+        if k % COMPACT == 0:
+            seen = cut(seen).select(F.col("known").alias("known"))
+    columns = ["node", "depth", *(["ord"] if ordered else [])]
+    out = rounds[0].select(*columns) if keep_start else rounds[0].select(*columns).limit(0)
     for r in rounds[1:]:
-        out = out.unionByName(r)
+        out = out.unionByName(r.select(*columns))
     return out
 
 
@@ -42,6 +51,13 @@ def reachable(edges: DataFrame, entry: DataFrame) -> DataFrame:
     return bfs(edges, entry, None, keep_start=True).select("node")
 
 
+def dead(edges: DataFrame, entry: DataFrame) -> DataFrame:
+    """(node): ends of `edges` (src, dst) that nothing in the entry set (node) leads to."""
+    edges = cut(edges.select("src", "dst"))
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return nodes.join(reachable(edges, entry), "node", "left_anti")
+
+
 def _trimmed(edges: DataFrame) -> DataFrame:
     """Edges left once nodes without a way in or without a way out have gone, again and again."""
     edges = cut(edges.where("src != dst").select("src", "dst").distinct())

@@ -10,21 +10,27 @@ from strandweave.runtime import cut
 
 
 def closure(nodes: DataFrame) -> DataFrame:
-    """(node, ancestor, distance), each node its own ancestor at 0; one join a level."""
+    """(node, ancestor, distance), each node its own ancestor at 0; one join a level.
+
+    Raises ValueError if the relation has a cycle: then some node comes back to itself, however long the cycle is.
+    """
+    nodes = cut(nodes.select("id", "parent"))
     parents = nodes.select(F.col("id").alias("child"), F.col("parent").alias("up")).where("up IS NOT NULL")
-    front = nodes.select(F.col("id").alias("node"), F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
-    levels, limit = [front], 1000
-    while limit:
-        front = cut(front.join(parents, front["ancestor"] == parents["child"]).select("node", F.col("up").alias("ancestor"), (F.col("distance") + 1).alias("distance")))
-        limit -= 1
+    front = nodes.select(F.col("id").alias("node"), F.col("id").alias("ancestor"))
+    levels = [front.withColumn("distance", F.lit(0))]
+    while True:
+        front = cut(front.join(parents, front["ancestor"] == parents["child"]).select("node", F.col("up").alias("ancestor")))
         if front.isEmpty():
             return union_all(levels)
-        levels.append(front)
-    raise ValueError("the containment relation has a cycle")
+        if not front.where("node = ancestor").isEmpty():
+            raise ValueError("the containment relation has a cycle")
+        levels.append(front.withColumn("distance", F.lit(len(levels))))
 
 
 def levels_down(nodes: DataFrame) -> DataFrame:
     """(id, parent, kind, loc, level) of the nodes under the root."""
+    # every level reads all nodes: what makes them is computed once
+    nodes = cut(nodes)
     # the level is added after each cut: Spark 4.1 fails to carry a checkpoint's own constraints through a union
     level = cut(nodes.where("parent IS NULL"))
     out = [level.withColumn("level", F.lit(0))]

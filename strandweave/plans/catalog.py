@@ -17,8 +17,6 @@ from strandweave.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-#: Registered queries over all rows where the SQL of the query of that name, less `_whole`, takes only some of them; without SQL.
-WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(sql: str | None = None) -> Callable:
@@ -31,11 +29,6 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-def whole(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-    WHOLE[f.__name__] = f
-    return f
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.traverse(views.key_facts(spark, sf_dir), "IMPACT nation:3 DEPTH 3").select("depth", "entity")
 
@@ -51,9 +44,8 @@ _TREE = """nodes AS (
 reach AS (SELECT id, 0 AS level FROM nodes WHERE parent IS NULL UNION ALL SELECT n.id, r.level + 1 FROM nodes n JOIN reach r ON n.parent = r.id),
 live AS (SELECT n.*, r.level FROM nodes n JOIN reach r USING (id)),
 up AS (SELECT id, id AS anc, 0 AS distance FROM live UNION ALL SELECT u.id, n.parent, u.distance + 1 FROM up u JOIN live n ON u.anc = n.id WHERE n.parent IS NOT NULL)"""
-_EDGES = """items AS (SELECT l_orderkey, l_linenumber, p_brand || '/' || p_partkey AS file FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= {least}),
+_EDGES = """items AS (SELECT l_orderkey, l_linenumber, p_brand || '/' || p_partkey AS file FROM lineitem JOIN part ON l_partkey = p_partkey),
 edges AS (SELECT DISTINCT a.file AS src, b.file AS dst FROM items a JOIN items b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber WHERE a.file != b.file)"""
-_E40 = _EDGES.format(least=40)
 _DIR = "regexp_extract({}, '^(.*)/[^/]*$', 1)"
 _KEYS = """links AS (
   SELECT 'order:' || o_orderkey AS subject, 'customer:' || o_custkey AS object FROM orders
@@ -73,7 +65,7 @@ def file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dups.file_facts(views.files(spark, sf_dir))
 
 
-@query(f"WITH {_FILES} SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (WHERE size > 5000) AS over_cap, 0 AS binaries, count(*) FILTER (WHERE size = 0) AS empty FROM files")
+@query(f"WITH {_FILES} SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (WHERE size > 5000) AS over_cap, count(*) FILTER (WHERE contains(left(text, 8192), chr(0))) AS binaries, 0 AS unreadable, count(*) FILTER (WHERE size = 0) AS empty FROM files")
 def scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dups.scan_counts(dups.file_facts(views.files(spark, sf_dir)), 5000)
 
@@ -83,10 +75,9 @@ def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.lines(spark, sf_dir).groupBy("path").agg(F.count("*").alias("lines"), F.sum(F.octet_length("line")).alias("bytes"))
 
 
-@query(f"WITH {_FILES} SELECT lang AS subrepo, string_agg(rel, ',' ORDER BY rel) AS files, count(*) AS n, CAST(arg_min(lines, rel) AS BIGINT) AS loc FROM files WHERE hash IS NOT NULL GROUP BY lang, hash HAVING count(*) > 1")
+@query(f"WITH {_FILES}, g AS (SELECT lang, hash, min(rel) AS first, count(*) AS n, CAST(arg_min(lines, rel) AS BIGINT) AS loc FROM files WHERE hash IS NOT NULL GROUP BY lang, hash HAVING count(*) > 1) SELECT f.lang AS subrepo, rel, first, n, loc FROM files f JOIN g ON f.lang = g.lang AND f.hash = g.hash")
 def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dups.exact_dup_groups(dups.file_facts(views.files(spark, sf_dir, "lang")))
-    return out.select("subrepo", F.array_join("files", ",").alias("files"), "n", "loc")
+    return dups.dup_members(dups.file_facts(views.files(spark, sf_dir, "lang"))).drop("hash")
 
 
 @query(f"WITH {_FILES} SELECT hash, count(DISTINCT source) AS subrepos FROM files WHERE hash IS NOT NULL GROUP BY hash HAVING count(DISTINCT source) > 1")
@@ -111,32 +102,32 @@ def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dups.near_dup_pairs(views.files(spark, sf_dir, "lang"), 0.5, r"[.\n]").withColumn("similarity", F.round("similarity", 6))
 
 
-@query("""SELECT sha256(body) AS body_hash, count(*) AS sites FROM (SELECT trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \\t\\n\\r]+', ' ', 'g')) AS body FROM documents) WHERE length(body) >= 40 GROUP BY body HAVING count(*) > 1""")
+@query("""SELECT sha256(body) AS body_hash, count(*) AS sites FROM (SELECT trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \\t\\n\\r]+', ' ', 'g')) AS body FROM documents) WHERE body != '' GROUP BY body HAVING count(*) > 1""")
 def clone_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = tx.collapse(F.col("line"))
     rows = views.lines(spark, sf_dir).select(F.col("path").alias("file"), F.lit("line").alias("name"), F.col("line_no").alias("line"), body.alias("body"), F.lit(9).alias("lines"))
-    return dups.clone_groups(rows.where(F.length("body") >= 40)).select("body_hash", "sites")
+    return dups.clone_groups(rows.where("body != ''")).select("body_hash", "sites")
 
 
 # trees
 
 
-@query(f"WITH RECURSIVE {_TREE} SELECT u.anc AS id, count(*) FILTER (WHERE n.kind = 'atom') AS files, CAST(coalesce(sum(n.loc), 0) AS BIGINT) AS loc FROM up u JOIN live n USING (id) WHERE u.anc NOT LIKE 'o%' GROUP BY u.anc")
+@query(f"WITH RECURSIVE {_TREE} SELECT u.anc AS id, count(*) FILTER (WHERE n.kind = 'atom') AS files, CAST(coalesce(sum(n.loc), 0) AS BIGINT) AS loc FROM up u JOIN live n USING (id) GROUP BY u.anc")
 def tree_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.subtree(views.tree(spark, sf_dir)).where("id NOT LIKE 'o%'").select("id", "files", "loc")
+    return trees.subtree(views.tree(spark, sf_dir)).select("id", "files", "loc")
 
 
-@query(f"WITH RECURSIVE {_TREE} SELECT u.anc AS id, CAST(max(u.distance + CASE WHEN n.kind = 'atom' THEN 1 ELSE 1 END) AS BIGINT) AS depth FROM up u JOIN live n USING (id) WHERE u.anc NOT LIKE 'o%' GROUP BY u.anc")
+@query(f"WITH RECURSIVE {_TREE} SELECT u.anc AS id, CAST(max(u.distance + CASE WHEN n.kind = 'atom' THEN 1 ELSE 1 END) AS BIGINT) AS depth FROM up u JOIN live n USING (id) GROUP BY u.anc")
 def tree_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.subtree(views.tree(spark, sf_dir)).where("id NOT LIKE 'o%'").select("id", "depth")
+    return trees.subtree(views.tree(spark, sf_dir)).select("id", "depth")
 
 
 @query(f"""WITH RECURSIVE {_TREE}, kids AS (SELECT parent AS id, count(*) AS n FROM live WHERE parent IS NOT NULL GROUP BY parent),
 w AS (SELECT l.id, 1 + ln(greatest(k.n, 1)) / 10 AS f FROM live l LEFT JOIN kids k USING (id) WHERE l.kind = 'composite'),
 climb AS (SELECT id, id AS anc, CAST(loc AS DOUBLE) AS score FROM live WHERE kind = 'atom' UNION ALL SELECT c.id, n.parent, c.score * w.f FROM climb c JOIN live n ON c.anc = n.id JOIN w ON w.id = n.parent)
-SELECT anc AS id, round(sum(score), 3) AS score FROM climb WHERE anc NOT LIKE 'o%' GROUP BY anc ORDER BY sum(score) DESC, anc LIMIT 15""")
+SELECT anc AS id, round(sum(score), 3) AS score FROM climb GROUP BY anc ORDER BY sum(score) DESC, anc LIMIT 15""")
 def tree_complexity_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = trees.subtree(views.tree(spark, sf_dir)).where("id NOT LIKE 'o%'")
+    rows = trees.subtree(views.tree(spark, sf_dir))
     return rows.orderBy(F.desc("score"), "id").limit(15).select("id", F.round("score", 3).alias("score"))
 
 
@@ -146,14 +137,14 @@ def empty_composites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _broken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The tree with a nation gone, and lists of children and dependencies that no longer fit."""
-    nodes = views.tree(spark, sf_dir).where("kind = 'composite' AND id NOT LIKE 'o%'")
-    children = nodes.where("parent IS NOT NULL AND id NOT LIKE 'c%7'").select(F.col("parent").alias("id"), F.col("id").alias("child"))
-    return nodes.where("id != 'n3'"), children, spark.createDataFrame([("r0", "r1"), ("r0", "r99")], "id string, target string")
+    """The tree with a nation and an order gone, and lists of children and dependencies that no longer fit."""
+    nodes = views.tree(spark, sf_dir)
+    children = nodes.where("parent IS NOT NULL AND id NOT LIKE 'c%7' AND id NOT LIKE 'o%7'").select(F.col("parent").alias("id"), F.col("id").alias("child"))
+    return nodes.where("id NOT IN ('n3', 'o1')"), children, spark.createDataFrame([("r0", "r1"), ("r0", "r99")], "id string, target string")
 
 
-@query(f"""WITH RECURSIVE {_TREE}, c AS (SELECT * FROM nodes WHERE kind = 'composite' AND id NOT LIKE 'o%'), k AS (SELECT * FROM c WHERE id != 'n3'),
-ch AS (SELECT parent AS id, id AS child FROM c WHERE parent IS NOT NULL AND id NOT LIKE 'c%7'), dep AS (SELECT * FROM (VALUES ('r0', 'r1'), ('r0', 'r99')) v(id, target))
+@query(f"""WITH RECURSIVE {_TREE}, k AS (SELECT * FROM nodes WHERE id NOT IN ('n3', 'o1')),
+ch AS (SELECT parent AS id, id AS child FROM nodes WHERE parent IS NOT NULL AND id NOT LIKE 'c%7' AND id NOT LIKE 'o%7'), dep AS (SELECT * FROM (VALUES ('r0', 'r1'), ('r0', 'r99')) v(id, target))
 SELECT 'parent missing' AS problem, id, parent AS other FROM k WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM k)
 UNION ALL SELECT 'not listed by parent', id, parent FROM k WHERE parent IN (SELECT id FROM k) AND NOT EXISTS (SELECT 1 FROM ch WHERE ch.id = k.parent AND ch.child = k.id)
 UNION ALL SELECT 'names another parent', child, ch.id FROM ch WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.id = ch.child AND k.parent = ch.id)
@@ -162,53 +153,19 @@ def tree_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.invariants(*_broken(spark, sf_dir))
 
 
-@whole
-def tree_file_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.subtree(views.tree(spark, sf_dir)).select("id", "files", "loc")
-
-
-@whole
-def tree_depth_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.subtree(views.tree(spark, sf_dir)).select("id", "depth")
-
-
-@whole
-def tree_complexity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The score of every node, of which tree_complexity_top has the first 15 above the orders."""
-    return trees.subtree(views.tree(spark, sf_dir)).select("id", F.round("score", 3).alias("score"))
-
-
-@whole
-def tree_invariants_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole tree with a nation and an order gone, and lists of children that lack customers, orders and lines."""
-    nodes = views.tree(spark, sf_dir)
-    children = nodes.where("parent IS NOT NULL AND id NOT LIKE 'c%7' AND id NOT LIKE 'o%7'").select(F.col("parent").alias("id"), F.col("id").alias("child"))
-    return trees.invariants(nodes.where("id NOT IN ('n3', 'o1')"), children, spark.createDataFrame([("r0", "r1"), ("r0", "r99")], "id string, target string"))
-
-
 @query("SELECT 'o' || l_orderkey AS parent, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY 1 HAVING count(*) > 5")
 def bounded_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.growth(views.tree(spark, sf_dir), 5)
 
 
-_HOMES = "homes AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+)', 1) AS home FROM pages UNION SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+/[^/]+)/', 1) FROM pages WHERE page_id % 2 = 0)"
+_HOMES = "homes AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+)', 1) AS home FROM pages UNION SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+/[^/]+)/', 1) FROM pages)"
 
 
 @query(f"WITH {_HOMES} SELECT p.path, coalesce(arg_max(h.home, len(h.home)), '') AS home FROM (SELECT DISTINCT url AS path FROM pages) p LEFT JOIN homes h ON starts_with(p.path, h.home || '/') AND h.home != '' GROUP BY p.path")
 def nearest_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
-    return _homes(p, p.where("page_id % 2 = 0"))
-
-
-@whole
-def nearest_ancestor_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
-    return _homes(p, p)
-
-
-def _homes(p: DataFrame, sectioned: DataFrame) -> DataFrame:
     hosts = p.select(F.regexp_extract("url", "^(https?://[^/]+)", 1).alias("home"))
-    sections = sectioned.select(F.regexp_extract("url", "^(https?://[^/]+/[^/]+)/", 1).alias("home"))
+    sections = p.select(F.regexp_extract("url", "^(https?://[^/]+/[^/]+)/", 1).alias("home"))
     return trees.nearest_ancestor(p.select(F.col("url").alias("path")), hosts.union(sections).where("home != ''"))
 
 
@@ -221,12 +178,9 @@ def dominant_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LAYERS = "(VALUES ('low', 0), ('mid', 1), ('high', 2)) v(layer, idx)"
 
 
-@query(f"WITH {_E40}, l AS (SELECT DISTINCT file, CASE WHEN file < 'Brand#23' THEN 'low' WHEN file < 'Brand#4' THEN 'mid' WHEN file < 'Brand#53' THEN 'high' END AS layer FROM items), x AS (SELECT file, layer, idx FROM l JOIN {_LAYERS} USING (layer)) SELECT src, dst, a.layer AS from_layer, b.layer AS to_layer FROM edges JOIN x a ON a.file = src JOIN x b ON b.file = dst WHERE b.idx > a.idx")
+@query(f"WITH {_EDGES}, l AS (SELECT DISTINCT file, CASE WHEN file < 'Brand#23' THEN 'low' WHEN file < 'Brand#4' THEN 'mid' WHEN file < 'Brand#53' THEN 'high' END AS layer FROM items), x AS (SELECT file, layer, idx FROM l JOIN {_LAYERS} USING (layer)) SELECT src, dst, a.layer AS from_layer, b.layer AS to_layer FROM edges JOIN x a ON a.file = src JOIN x b ON b.file = dst WHERE b.idx > a.idx")
 def layer_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _layered(spark, views.part_edges(spark, sf_dir))
-
-
-def _layered(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    edges = views.part_edges(spark, sf_dir)
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     layer = F.when(F.col("id") < "Brand#23", "low").when(F.col("id") < "Brand#4", "mid").when(F.col("id") < "Brand#53", "high")
     levels = spark.createDataFrame([("low", 0), ("mid", 1), ("high", 2)], "layer string, idx int")
@@ -252,7 +206,7 @@ def bql_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("subject", F.col("object.text").alias("object"))
 
 
-_REACH = f"WITH RECURSIVE {_E40}, reached AS (SELECT DISTINCT src AS node FROM edges WHERE src LIKE 'Brand#1%' UNION SELECT e.dst FROM reached r JOIN edges e ON e.src = r.node)"
+_REACH = f"WITH RECURSIVE {_EDGES}, reached AS (SELECT DISTINCT src AS node FROM edges WHERE src LIKE 'Brand#1%' UNION SELECT e.dst FROM reached r JOIN edges e ON e.src = r.node)"
 
 
 def _entry(edges: DataFrame) -> DataFrame:
@@ -265,100 +219,53 @@ def reachable_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(edges, _entry(edges))
 
 
-@query(f"{_REACH} SELECT node FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges) WHERE node NOT IN (SELECT node FROM reached)")
+@query(f"WITH RECURSIVE {_KEYS}, reached AS (SELECT subject AS node FROM links WHERE subject LIKE 'order:%' UNION SELECT l.object FROM reached r JOIN links l ON l.subject = r.node) SELECT node FROM (SELECT subject AS node FROM links UNION SELECT object FROM links) WHERE node NOT IN (SELECT node FROM reached)")
 def dead_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dead(views.part_edges(spark, sf_dir))
-
-
-def _dead(edges: DataFrame) -> DataFrame:
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    return nodes.join(graph.reachable(edges, _entry(edges)), "node", "left_anti")
+    """What no order leads to: customers without orders, and suppliers."""
+    edges = store.edges(views.key_facts(spark, sf_dir), impact=False)
+    return graph.dead(edges, edges.where("src LIKE 'order:%'").select(F.col("src").alias("node")))
 
 
-@query(f"WITH RECURSIVE {_E40}, t AS (SELECT src, dst FROM edges UNION SELECT t.src, e.dst FROM t JOIN edges e ON t.dst = e.src), m AS (SELECT a.src AS node, a.dst AS other FROM t a JOIN t b ON a.src = b.dst AND a.dst = b.src WHERE a.src != a.dst) SELECT node, least(node, min(other)) AS component FROM m GROUP BY node")
+@query()
 def dependency_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cycles(views.part_edges(spark, sf_dir))
 
 
-@query(f"WITH {_E40} SELECT dst AS file, {_DIR.format('dst')} AS current_dir, min({_DIR.format('src')}) AS suggested_dir, count(DISTINCT src) AS dependents FROM edges GROUP BY dst HAVING count(DISTINCT {_DIR.format('src')}) = 1 AND min({_DIR.format('src')}) != {_DIR.format('dst')}")
+_HELD = "edges AS (SELECT 'n' || c_nationkey || '/c' || c_custkey AS src, 'n' || (o_orderkey % 25) || '/o' || o_orderkey AS dst FROM orders JOIN customer ON o_custkey = c_custkey)"
+
+
+@query(f"WITH {_HELD} SELECT dst AS file, {_DIR.format('dst')} AS current_dir, min({_DIR.format('src')}) AS suggested_dir, count(DISTINCT src) AS dependents FROM edges GROUP BY dst HAVING count(DISTINCT {_DIR.format('src')}) = 1 AND min({_DIR.format('src')}) != {_DIR.format('dst')}")
 def misplaced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.misplaced(views.part_edges(spark, sf_dir))
+    """Orders, each in one of 25 places, that belong with the nation of their customer."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    src = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("/c"), F.col("c_custkey").cast("string"))
+    dst = F.concat(F.lit("n"), (F.col("o_orderkey") % 25).cast("string"), F.lit("/o"), F.col("o_orderkey").cast("string"))
+    return graph.misplaced(o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(src.alias("src"), dst.alias("dst")))
 
 
-@query(f"WITH {_E40}, w AS (SELECT src AS file, {_DIR.format('dst')} AS dir FROM edges UNION ALL SELECT dst, {_DIR.format('src')} FROM edges), c AS (SELECT file, dir, count(*) AS n FROM w GROUP BY file, dir) SELECT file, dir, n, CAST(row_number() OVER (PARTITION BY file ORDER BY n DESC, dir) AS INTEGER) AS rank FROM c")
+@query(f"WITH {_EDGES}, w AS (SELECT src AS file, {_DIR.format('dst')} AS dir FROM edges UNION ALL SELECT dst, {_DIR.format('src')} FROM edges), c AS (SELECT file, dir, count(*) AS n FROM w GROUP BY file, dir) SELECT file, dir, n, CAST(row_number() OVER (PARTITION BY file ORDER BY n DESC, dir) AS INTEGER) AS rank FROM c")
 def placement_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.placement(views.part_edges(spark, sf_dir))
 
 
-@query(f"WITH {_E40} SELECT dst AS node, count(*) AS n FROM edges GROUP BY dst ORDER BY n DESC, node LIMIT 8")
+@query(f"WITH {_EDGES} SELECT dst AS node, count(*) AS n FROM edges GROUP BY dst ORDER BY n DESC, node LIMIT 8")
 def fan_in_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.fan_in(views.part_edges(spark, sf_dir))
 
 
-@query(f"WITH {_EDGES.format(least=35)} SELECT src, dst FROM edges")
+@query(f"WITH {_EDGES} SELECT src, dst FROM edges UNION SELECT dst, src FROM edges")
 def graph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.merge_graphs(views.part_edges(spark, sf_dir, 40), views.part_edges(spark, sf_dir, 35))
+    """The graph and the one of all its edges turned round."""
+    edges = views.part_edges(spark, sf_dir)
+    return graph.merge_graphs(edges, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-@query(f"WITH {_E40} SELECT count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM edges")
+@query(f"WITH {_EDGES} SELECT count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM edges")
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edge_counts(views.part_edges(spark, sf_dir))
-
-
-def _edge_counts(edges: DataFrame) -> DataFrame:
+    edges = views.part_edges(spark, sf_dir)
     return edges.agg(F.count("*").alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"))
 
 
-def _all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.part_edges(spark, sf_dir, None)
-
-
-@whole
-def layer_violations_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _layered(spark, _all_edges(spark, sf_dir))
-
-
-@whole
-def reachable_set_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _all_edges(spark, sf_dir)
-    return graph.reachable(edges, _entry(edges))
-
-
-@whole
-def dead_nodes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dead(_all_edges(spark, sf_dir))
-
-
-@whole
-def dependency_cycles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cycles(_all_edges(spark, sf_dir))
-
-
-@whole
-def misplaced_files_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.misplaced(_all_edges(spark, sf_dir))
-
-
-@whole
-def placement_rank_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.placement(_all_edges(spark, sf_dir))
-
-
-@whole
-def fan_in_top_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.fan_in(_all_edges(spark, sf_dir))
-
-
-@whole
-def graph_merge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.merge_graphs(views.part_edges(spark, sf_dir, 40), _all_edges(spark, sf_dir))
-
-
-@whole
-def index_stats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edge_counts(_all_edges(spark, sf_dir))
-
-
 @query("""WITH s AS (SELECT user_id, event_id, ts, lead(ts, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until FROM events WHERE event_type = 'signup'),
 h AS (SELECT e.user_id AS file, e.event_id AS ref, s.event_id AS owner, row_number() OVER (PARTITION BY e.event_id ORDER BY s.until - s.ts, s.event_id) AS k FROM events e JOIN s ON s.user_id = e.user_id AND e.ts BETWEEN s.ts AND s.until WHERE e.event_type = 'error' AND s.until IS NOT NULL)
 SELECT file, ref, owner FROM h WHERE k = 1""")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from strandweave.operators.graph import bfs
+from strandweave.runtime import cut
 
 FACT = (
     "subject string, predicate string, object struct<kind:string,text:string,int:bigint,bool:boolean>, "
@@ -73,22 +74,36 @@ def canonical(facts: DataFrame) -> DataFrame:
 
 
 def ordinals(facts: DataFrame) -> DataFrame:
-    """(ordinal, payload): the canonical total order, counted within each subject's first letters and then across them."""
-    rows = canonical(facts).withColumn("part", F.substring("subject", 1, 12))
+    """(ordinal, payload): the canonical total order. Facts are sorted in ranges of it, and each range's numbers begin where those before end."""
     order = ["subject", "predicate", "rank", "otext", "oint", "obool", "payload"]
+    rows = canonical(facts).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = cut(rows.select("payload", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("k")))
     sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
+    # a row for each range
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("part", before.alias("start"))
-    local = rows.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1)
-    return local.join(starts, "part").select((F.col("start") + F.col("k")).alias("ordinal"), "payload")
+    starts = sizes.select(F.col("part").alias("_part"), before.alias("start"))
+    return rows.join(starts, F.col("part") == F.col("_part")).select((F.col("start") + F.col("k")).alias("ordinal"), "payload")
 
 
 def digest(facts: DataFrame, parent: str | None = None) -> str:
-    """A snapshot's id: the hash of its parent and of its payloads' hashes, which are summed up in 4096 buckets first."""
-    rows = canonical(facts).select(F.sha2(F.col("payload").cast("binary"), 256).alias("h"))
-    buckets = rows.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
-    whole = buckets.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("b", "h"))), "").cast("binary"), 256).alias("h")).first()["h"]
-    own = rows.sparkSession.range(1).select(F.sha2(F.concat_ws("|", F.lit(parent or ""), F.lit(whole)).cast("binary"), 256).alias("h"))
+    """A snapshot's id: the hash of its parent and of a tree over its payloads' hashes.
+
+    Hashes meet by their first digits, two digits fewer at each step, so about 256 of them meet in one row however
+    many facts there are.
+    """
+    nodes = canonical(facts).select(F.sha2(F.col("payload").cast("binary"), 256).alias("h"))
+    n, digits = nodes.count(), 0
+    while n > 256 << (4 * digits):
+        digits += 2
+    nodes = nodes.select(F.substring("h", 1, digits).alias("at"), "h")
+    while True:
+        nodes = nodes.groupBy("at").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("at", F.lit(":"), "h"))), "").cast("binary"), 256).alias("h"))
+        if not digits:
+            break
+        digits -= 2
+        nodes = nodes.select(F.substring("at", 1, digits).alias("at"), "h")
+    top = nodes.first()
+    own = facts.sparkSession.range(1).select(F.sha2(F.concat_ws("|", F.lit(parent or ""), F.lit(top["h"] if top else "")).cast("binary"), 256).alias("h"))
     return "sha256:" + own.first()["h"]
 
 

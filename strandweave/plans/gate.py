@@ -32,9 +32,9 @@ def lean_findings(facts: DataFrame, texts: DataFrame, edges: DataFrame | None =
     near = dups.near_dup_pairs(texts.select(F.col("path").alias("rel"), "subrepo", "text"), NEAR)
     clones = dups.clone_groups(bodies(texts), CLONE_LINES)
     parts = [
-        rules.finding(groups, "lean-duplicate", "warning", F.concat_ws(" ", F.col("n").cast("string"), F.lit("equal files")), F.col("files")[0]),
+        rules.finding(groups, "lean-duplicate", "warning", F.concat_ws(" ", F.col("n").cast("string"), F.lit("equal files")), F.col("first")),
         rules.finding(near, "lean-near-duplicate", "note", F.concat_ws(" ", F.lit("much like"), "b"), F.col("a")),
-        rules.finding(clones, "lean-clone", "warning", F.concat_ws(" ", F.col("sites").cast("string"), F.lit("equal bodies")), F.col("names")[0]["file"], F.col("names")[0]["line"]),
+        rules.finding(clones, "lean-clone", "warning", F.concat_ws(" ", F.col("sites").cast("string"), F.lit("equal bodies")), F.col("first.file"), F.col("first.line")),
     ]
     if edges is not None:
         m = misplaced(edges)

@@ -40,13 +40,10 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def part_edges(spark: SparkSession, sf_dir: str, least: int | None = 40) -> DataFrame:
-    """(src, dst): parts on consecutive lines of an order, both in quantities of `least` or more, or in any if None; a file's directory is its brand."""
-    items = table(spark, sf_dir, "lineitem")
-    if least is not None:
-        items = items.where(F.col("l_quantity") >= least)
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): parts on consecutive lines of an order; a file's directory is its brand."""
     parts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string")).alias("file"))
-    rows = items.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "file")
+    rows = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "file")
     a = rows.withColumnRenamed("file", "src")
     b = rows.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("file").alias("dst"))
     return a.join(b, ["l_orderkey", "l_linenumber"]).where("src != dst").select("src", "dst").distinct()

@@ -118,8 +118,10 @@ def test_lines_and_names(spark):
 def test_clones(spark):
     body = "".join(f"    step_{i}();  // say {i}\n" for i in range(6))
     rows = [("a.rs", f"fn one() {{\n{body}}}\n"), ("b.rs", f"pub fn two() {{\n{body}}}\n#[cfg(test)]\nfn three() {{\n{body}}}\n"), ("c.py", "def f():\n" + "    x = 1\n" * 6 + "def test_f():\n" + "    x = 1\n" * 6 + "def g(a,\n      b):\n" + "    x = 1  # y\n" * 6)]
-    out = dups.clone_groups(extract.bodies(spark.createDataFrame(rows, "path string, text string"))).collect()
-    assert sorted([(s.file, s.name) for s in r.names] for r in out) == [[("a.rs", "one"), ("b.rs", "two")], [("c.py", "f"), ("c.py", "g")]]
+    bodies = extract.bodies(spark.createDataFrame(rows, "path string, text string"))
+    out = dups.clone_groups(bodies).collect()
+    assert sorted((r.first.file, r.first.name, r.sites) for r in out) == [("a.rs", "one", 2), ("c.py", "f", 2)]
+    assert sorted((r.file, r.name, r.sites) for r in dups.clone_sites(bodies).collect()) == [("a.rs", "one", 2), ("b.rs", "two", 2), ("c.py", "f", 2), ("c.py", "g", 2)]
     assert list(extract.brace_functions('fn a() {\n  let s = "}";\n  b();\n}\n'))[0][2] == 'let s = "}";\nb();'
 
 
