@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.functions import text as tx
-from strandweave.functions.extract import bodies
-from strandweave.operators import blueprint, dups, graph, moves, rules
+from strandweave.operators import dups, graph, rules
 from strandweave.operators import tree as trees
 from strandweave.plans import facts as store
-from strandweave.plans import report, views
+from strandweave.plans import views
 from strandweave.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -354,45 +353,7 @@ def inline_waivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("message", "file", "line")
 
 
-def _values(rows: list[tuple], columns: str) -> str:
-    said = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(said, r)) + ')' for r in rows)}) v({columns})"
-
-
-@query(_values([("core/src/lib.rs", 5, "fn close"), ("core/src/lib.rs", 6, "trait Codec"), ("core/src/lib.rs", 7, "struct Json"), ("core/src/lib.rs", 8, "struct Plain"), ("core/src/lib.rs", 1, "mod store"), ("core/src/store.rs", 2, "struct FactStore"), ("core/src/util.rs", 4, "struct Bare")], "file, line, message"))
-def undocumented_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.undocumented(tx.lines_table(views.sources(spark)).where("path LIKE '%.rs'")).select("file", "line", "message")
-
-
-@query(_values([("core/src/orphan.rs", "no declaration of orphan")], "file, message"))
-def unwired_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.unwired(tx.lines_table(views.sources(spark)).where("path LIKE '%.rs'")).select("file", "message")
-
-
-@query(_values([("pkg.native", "core/src/store.rs", "py/app.py", 2, "fetch,Store")], "module, rust_file, py_file, py_line, names"))
-def ffi_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = tx.lines_table(views.sources(spark))
-    return rules.ffi_edges(lines.where("path LIKE '%.rs'"), lines.where("path LIKE '%.py'")).withColumn("names", F.array_join("names", ","))
-
-
-@query(_values([("Store", "class", "core/src/store.rs", 2), ("fetch", "function", "core/src/store.rs", 4), ("native", "module", "core/src/store.rs", 6)], "py_name, kind, file, line"))
-def ffi_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.exports(tx.lines_table(views.sources(spark)))
-
-
-@query(_values([("core/src/lib.rs", 8, "Plain lacks Codec")], "file, line, message"))
-def contract_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contracts = spark.createDataFrame([("codec", "core/src/lib", "Codec")], "contract string, path string, trait string")
-    return rules.anchors(tx.lines_table(views.sources(spark)), contracts).select("file", "line", "message")
-
-
-@query(_values([("Codec has implementations: 1",)], "message"))
-def sealed_seams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contracts = spark.createDataFrame([("codec", "Codec")], "contract string, trait string")
-    return rules.sealed(tx.lines_table(views.sources(spark)), contracts).select("message")
-
-
-# reports and documents
+# reports
 
 
 _LEAN = f"""{_FILES}, {_GROUPS}, d AS (SELECT count(*) AS "groups", sum(n - 1) AS dup_files, sum((n - 1) * loc) AS wasted_loc FROM g),
@@ -416,67 +377,3 @@ def lean_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ratchet_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = {"score": 1.0, "dup_files": 2, "empty": 1_000_000_000, "dead": 0, "misplaced": None}
     return dups.regressions(_lean(spark, sf_dir), base).withColumn("now", F.round("now", 6))
-
-
-@query()
-def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.sarif_results(_order_findings(spark, sf_dir))
-
-
-@query()
-def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.rendered(_order_findings(spark, sf_dir))
-
-
-@query()
-def function_clones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = "    let a = 1;\n    let b = 2;\n    let c = a + b;\n    let d = c * 2;\n    let e = d;\n    use_it(e);\n"
-    rows = [("a.rs", f"fn one() {{\n{body}}}\n"), ("b.rs", f"pub fn two(x: u8) {{\n{body}}}\nfn three() {{}}\n")]
-    return dups.clone_groups(bodies(spark.createDataFrame(rows, "path string, text string")))
-
-
-@query()
-def move_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("src/lib.rs", "mod a;\nmod util;\n"), ("src/a.rs", "pub mod b;\n"), ("src/a/b.rs", "pub fn f() {}\n"), ("src/util.rs", "use crate::a::b::f;\nuse crate::a::bc;\n")]
-    return moves.plan_move(spark.createDataFrame(rows, "path string, text string"), "src/a/b.rs", "src/util/b.rs")[0]
-
-
-BLUEPRINT = {
-    "meta": [("bp", "Pipeline", "draft", None)],
-    "slot": [("bp", "ingest", "reads", ["ordered"], False), ("bp", "process", "works", [], True), ("bp", "bad id", "x", [], False)],
-    "port": [("bp", "out", "ingest", "output", "rows", True), ("bp", "in", "process", "input", "rows", True), ("bp", "back", "process", "output", "rows", False), ("bp", "again", "ingest", "input", "rows", False), ("bp", "stray", "nowhere", "input", "rows", False)],
-    "flow": [("bp", "f1", "out", "in", False), ("bp", "f2", "back", "again", False), ("bp", "f3", "in", "missing", True)],
-    "implementation": [("bp", "one", ["ingest", "process"], "a.rs#one"), ("bp", "two", ["gone"], "")],
-    "adapter": [("bp", "ad", "out", "in", "a.rs#ad", "w9")],
-    "witness": [("bp", "w1", "unit", ["ingest", "moon"], "true")],
-}
-
-
-@query(_values([(p, i) for p, i in [("bad slot id", "bad id"), ("port of no slot", "stray"), ("flow to no port", "f3"), ("flow from a wrong way", "f3"), ("implementation of no slot", "two"), ("implementation without binding", "two"), ("fusion of a slot that forbids it", "one"), ("fusion without a differential witness", "one"), ("adapter without witness", "ad"), ("witness of nothing", "w1"), ("cycle without a stateful flow", "ingest"), ("cycle without a stateful flow", "process")]], "problem, id"))
-def blueprint_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blueprint.validate(blueprint.tables(spark, BLUEPRINT)).select("problem", "id")
-
-
-def _successor() -> dict:
-    new = {**BLUEPRINT, "meta": [("bp2", "Pipeline", "draft", "other")]}
-    return {**new, "port": [("bp2", "out", "ingest", "output", "bytes", True)], "witness": [("bp2", "w1", "unit", ["ingest"], "true")]}
-
-
-@query(_values([("does not name its predecessor", "bp2"), ("permanent port is missing", "in"), ("permanent port has changed", "out"), ("permanent port without witness", "out")], "problem, id"))
-def blueprint_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blueprint.evolution(blueprint.tables(spark, BLUEPRINT), blueprint.tables(spark, _successor()))
-
-
-@query(_values([("bp", "ingest"), ("bp", "process")], "blueprint_id, id"))
-def slot_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blueprint.unmarked_cycles(blueprint.tables(spark, BLUEPRINT))
-
-
-@query(_values([("bp#slot/ingest", "member-of", "bp"), ("bp#slot/process", "member-of", "bp"), ("bp#slot/bad id", "member-of", "bp"), ("bp#port/out", "member-of", "bp#slot/ingest"), ("bp#port/in", "member-of", "bp#slot/process"), ("bp#port/back", "member-of", "bp#slot/process"), ("bp#port/again", "member-of", "bp#slot/ingest"), ("bp#port/stray", "member-of", "bp#slot/nowhere"), ("bp#slot/process", "depends-on", "bp#slot/ingest"), ("bp#slot/ingest", "depends-on", "bp#slot/process"), ("bp#implementation/one", "realizes", "bp#slot/ingest"), ("bp#implementation/one", "realizes", "bp#slot/process"), ("bp#implementation/two", "realizes", "bp#slot/gone")], "subject, predicate, object"))
-def blueprint_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blueprint.fact_rows(blueprint.tables(spark, BLUEPRINT))
-
-
-@query()
-def blueprint_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blueprint.shape_digests(blueprint.tables(spark, BLUEPRINT))

@@ -184,11 +184,20 @@ def fact(df: DataFrame, subject, predicate: str, entity=None, text=None, attribu
 
 
 def facts_from_graph(symbols: DataFrame, refs: DataFrame, file_deps: DataFrame, locator: str, digest_of: str) -> DataFrame:
+    """The facts of an index; symbols and files have name spaces of their own, so a symbol named like a file is another entity."""
+    symbol = lambda c: F.concat(F.lit("scip:symbol/"), F.col(c))
+    file = lambda c: F.concat(F.lit("scip:file/"), F.col(c))
     src = F.struct(F.lit("code-index").alias("adapter"), F.lit(locator).alias("locator"), F.lit(digest_of).alias("digest"))
     attrs = F.create_map(F.lit("display"), F.col("display"), F.lit("kind"), F.col("kind").cast("string"), F.lit("line"), (F.col("def.sl") + 1).cast("string"), F.lit("implementation"), F.col("is_impl").cast("string"))
-    own = fact(symbols, F.col("symbol"), "defined-in", F.col("file"), attributes=attrs, source=src)
-    both = refs.union(file_deps)
-    return own.unionByName(fact(both, F.col("src"), "depends-on", F.col("dst"), source=src))
+    own = fact(symbols, symbol("symbol"), "defined-in", file("file"), attributes=attrs, source=src)
+    return own.unionByName(fact(refs, symbol("src"), "depends-on", symbol("dst"), source=src)).unionByName(fact(file_deps, file("src"), "depends-on", file("dst"), source=src))
+
+
+def facts_from_blueprint(rows: DataFrame, locator: str, digest_of: str) -> DataFrame:
+    """Facts of a document's (subject, predicate, object), with where they come from."""
+    src = F.struct(F.lit("blueprint").alias("adapter"), F.lit(locator).alias("locator"), F.lit(digest_of).alias("digest"))
+    obj = F.struct(F.lit("entity").alias("kind"), F.col("object").alias("text"), F.lit(None).cast("long").alias("int"), F.lit(None).cast("boolean").alias("bool"))
+    return rows.select("subject", "predicate", obj.alias("object"), F.create_map().cast("map<string,string>").alias("attributes"), src.alias("source"))
 
 
 _FIELD = re.compile(r"^\s*(?:query\s*)?\{\s*(dependencies|impact)\s*\(([^)]*)\)\s*\{([^}]*)\}\s*\}\s*$")

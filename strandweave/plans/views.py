@@ -73,17 +73,3 @@ def ranges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     owners = spans.select(F.col("user_id").alias("file"), F.col("event_id").alias("owner"), F.col("ts").alias("start"), "end", F.col("event_id").alias("ord"))
     refs = e.where("event_type = 'error'").select(F.col("user_id").alias("file"), F.col("event_id").alias("ref"), F.col("ts").alias("at"))
     return refs, owners
-
-
-#: A small program in two languages, with something for each rule to find.
-SOURCES = [
-    ("core/src/lib.rs", "pub mod store;\nmod util;\n/// Documented.\npub fn open() {}\npub fn close() {}\npub trait Codec {}\npub struct Json;\npub struct Plain;\nimpl CodecExt for Json {}\n"),
-    ("core/src/store.rs", "#[pyclass(name = \"Store\")]\npub struct FactStore;\n#[pyfunction]\nfn fetch() {}\n#[pymodule]\nfn native(m: &M) {}\nlet x = y.unwrap(); // lint:allow(contract)\nlet z = w.unwrap();\n#[cfg(test)]\npub fn helper() {}\n"),
-    ("core/src/util.rs", "// lint:allow\nlet q = r.unwrap();\n#[derive(Debug)]\npub struct Bare;\n"),
-    ("core/src/orphan.rs", "fn lost() {}\n"),
-    ("py/app.py", "import os, json as j\nfrom pkg.native import fetch, Store as S\nfrom other import *\n"),
-]
-
-
-def sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SOURCES, "path string, text string")

@@ -2,6 +2,7 @@
 
 import pytest
 
+from strandweave.plans import coded  # noqa: F401 - registers its queries
 from strandweave.plans.catalog import ORACLE, QUERIES
 from tests.harness import DATA, compare
 
