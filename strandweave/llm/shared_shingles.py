@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from strandweave.llm.arrow import sliced, texts
 from strandweave.runtime import cut
 
-#: Shingles that one task counts at a time, about, and texts whose hashes are packed together.
-A_PART, A_SLICE = 1 << 21, 2048
+#: Shingles that one task counts at a time, about, and those that are packed together.
+A_PART, A_PACK = 1 << 19, 1 << 17
 #: Texts up to which the marks of those to compare are broadcast: 16 bytes each.
 FEW = 1_000_000
 
@@ -46,37 +46,44 @@ def set_id(distinct: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(distinct.tobytes(), 7)).astype(np.int64))
 
 
+def _pack(sets: dict[int, np.ndarray], parts: int) -> pa.RecordBatch:
+    """Rows (part, low, owner, owners, shared): the lower halves of the sets' hashes by part, whose they are, and those of several sets."""
+    keys = np.concatenate(list(sets.values()))
+    owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets.values()])
+    part = ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+    order = np.lexsort((keys, part))
+    keys, owner, part = keys[order], owner[order], part[order]
+    twice = np.zeros(len(keys) + 1, dtype=bool)
+    twice[1:-1] = keys[1:] == keys[:-1]
+    several = twice[1:] | twice[:-1]
+    names, low = np.fromiter(sets, dtype=np.int64, count=len(sets)), keys.astype(np.uint32)
+    present = np.unique(part)
+    rows: list[tuple] = []
+    for p, start, end in zip(present.tolist(), np.searchsorted(part, present), np.searchsorted(part, present, side="right")):
+        own = slice(start, end)
+        alone = ~several[own]
+        used, at = np.unique(owner[own][alone], return_inverse=True)
+        rows.append((p, low[own][alone].tobytes(), at.astype(np.uint16).tobytes(), names[used].tobytes(), np.unique(low[own][~alone]).tobytes()))
+    columns = list(zip(*rows))
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["part", "low", "owner", "owners", "shared"])
+
+
 def _packed(parts: int, shingle: int):
-    """Rows (part, low, owner, owners, shared): the lower halves of a slice's hashes by part, whose they are, and those of several texts."""
+    """Packs what some texts hold at a time, bounded by hashes and by texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, A_SLICE):
-            sets: dict[int, np.ndarray] = {}
+        sets, held = {}, 0
+        for batch in sliced(batches, 64):
             for text in texts(batch.column(0)):
                 own = np.unique(hashes_of(text, shingle))
-                if len(own):
-                    sets.setdefault(set_id(own), own)
-            if not sets:
-                continue
-            keys = np.concatenate(list(sets.values()))
-            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets.values()])
-            part = (keys >> np.uint64(32)) % np.uint64(parts)
-            order = np.lexsort((keys, part))
-            keys, owner, part = keys[order], owner[order], part[order].astype(np.int64)
-            twice = np.zeros(len(keys) + 1, dtype=bool)
-            twice[1:-1] = keys[1:] == keys[:-1]
-            several = twice[1:] | twice[:-1]
-            names = np.fromiter(sets, dtype=np.int64, count=len(sets))
-            low = keys.astype(np.uint32)
-            ends = np.searchsorted(part, np.arange(parts + 1))
-            rows: list[tuple] = []
-            for p in np.unique(part).tolist():
-                own = slice(ends[p], ends[p + 1])
-                alone = ~several[own]
-                used, at = np.unique(owner[own][alone], return_inverse=True)
-                rows.append((p, low[own][alone].tobytes(), at.astype(np.uint16).tobytes(), names[used].tobytes(), np.unique(low[own][~alone]).tobytes()))
-            columns = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["part", "low", "owner", "owners", "shared"])
+                if len(own) and (name := set_id(own)) not in sets:
+                    sets[name] = own
+                    held += len(own)
+                if held >= A_PACK or len(sets) >= 1 << 15:
+                    yield _pack(sets, parts)
+                    sets, held = {}, 0
+        if sets:
+            yield _pack(sets, parts)
 
     return run
 
