@@ -80,9 +80,16 @@ def _packed(ids: list[int]) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
-def encode(docs: DataFrame, ranks: Broadcast, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD) -> DataFrame:
+def _unpacked(ids: bytes, pieces: list[bytes]) -> bytes:
+    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+
+
+def encode(docs: DataFrame, ranks: Broadcast, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD, decoded: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids): a row for each row of `docs`; ids are little-endian unsigned 32-bit numbers.
 
+    With `decoded` there is also a column of that name, what the ids give when they are decoded again; for all but
+    the longest texts the worker that made the ids does it, so that no second one is needed.
+
     A null text counts as empty and has no ids. Bytes that aren't UTF-8 count as U+FFFD. Null and repeated ids
     and repeated rows keep their rows; columns of other names play no part. No text is cut short: every one is
     encoded piece by piece, those of over `spread` code points in several tasks.
@@ -90,15 +97,24 @@ def encode(docs: DataFrame, ranks: Broadcast, pattern: str, id_col: str = "doc_i
     rows = only(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     kind = dict(rows.dtypes)["doc_id"]
 
-    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoder, _ = _vocabulary(ranks.value, pattern)
-        cut = [pieces_of(t.decode("utf-8", "replace"), pattern, chunk, overlap) for t in texts(batch.column(1))]
-        ids = [[i for p in pieces for i in encoder.encode_ordinary(p)] if len(pieces) > 1 else encoder.encode_ordinary(pieces[0]) for pieces in cut]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array([_packed(i) for i in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
+    names = ["doc_id", "n_tokens", "ids", *(["decoded"] if decoded else [])]
 
-    schema = f"doc_id {kind}, n_tokens long, ids binary"
-    short = rows.where(F.length("text") <= spread).mapInArrow(mapper(whole), schema)
-    return short.unionByName(_encode_long(rows.where(F.length("text") > spread), ranks, pattern, chunk, overlap, kind))
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        encoder, pieces = _vocabulary(ranks.value, pattern)
+        sizes, packed = [], []
+        for text in texts(batch.column(1)):
+            parts = [encoder.encode_ordinary(p) for p in pieces_of(text.decode("utf-8", "replace"), pattern, chunk, overlap)]
+            sizes.append(sum(map(len, parts)))
+            packed.append(b"".join(map(_packed, parts)))
+        more = [pa.array([_unpacked(i, pieces) for i in packed], pa.binary())] if decoded else []
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary()), *more], names)
+
+    schema = f"doc_id {kind}, n_tokens long, ids binary" + (", decoded binary" if decoded else "")
+    short = rows.where(F.length("text") <= spread).mapInArrow(mapper(whole, 64), schema)
+    long = _encode_long(rows.where(F.length("text") > spread), ranks, pattern, chunk, overlap, kind)
+    if decoded:
+        long = decode(long.withColumn("_own", F.col("ids")), ranks, pattern, ["doc_id", "n_tokens", "_own"]).withColumnRenamed("_own", "ids")
+    return short.unionByName(long)
 
 
 def _encode_long(rows: DataFrame, ranks: Broadcast, pattern: str, chunk: int, overlap: int, kind: str) -> DataFrame:
@@ -156,13 +172,12 @@ def decode(encoded: DataFrame, ranks: Broadcast, pattern: str, keep: list[str],
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         _, pieces = _vocabulary(ranks.value, pattern)
-        at = pieces.__getitem__
-        out = [b"".join(map(at, np.frombuffer(i or b"", dtype="<u4").tolist())) for i in batch.column(batch.num_columns - 1).to_pylist()]
+        out = [_unpacked(i or b"", pieces) for i in batch.column(batch.num_columns - 1).to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], [*keep, "decoded"])
 
     rows = encoded.select(*keep, F.col(ids_col).alias("_ids"))
     schema = ", ".join([*(f"`{k}` {dict(rows.dtypes)[k]}" for k in keep), "decoded binary"])
-    return rows.mapInArrow(mapper(one), schema)
+    return rows.mapInArrow(mapper(one, 64), schema)
 
 
 def count_tokens(docs: DataFrame, ranks: Broadcast, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

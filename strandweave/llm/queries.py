@@ -107,10 +107,8 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = bpe.load(spark, RANKS)
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    both = bpe.decode(encoded.withColumn("_all", F.col("ids")), ranks, public_tokenizers.PATTERN, ["doc_id", "n_tokens", "_all"])
-    return both.select("doc_id", "n_tokens", F.sha2("_all", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = bpe.encode(table(spark, sf_dir, "documents"), bpe.load(spark, RANKS), public_tokenizers.PATTERN, decoded=True)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

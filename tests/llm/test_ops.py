@@ -220,7 +220,10 @@ def test_bpe_stitches_chunks(spark, tokens, chunk, overlap, spread):
     rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 120)))) for i in range(150)] + [(150, None), (151, "q" * 500), (None, " " * 300), (0, "other " * 40)]
     rows += rows[:3]
     vocabulary = bpe.load(spark, queries.RANKS)
-    out = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap, spread=spread)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    out = bpe.encode(table, vocabulary, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap, spread=spread)
+    own = bpe.encode(table, vocabulary, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap, spread=spread, decoded=True).collect()
+    assert Counter((r.doc_id, r.n_tokens, hashlib.sha256(r.ids).hexdigest(), hashlib.sha256(r.decoded).hexdigest()) for r in own) == Counter((i, *digests(tokens, t)) for i, t in rows)
     both = bpe.decode(out.withColumn("own", F.col("ids")), vocabulary, public_tokenizers.PATTERN, ["doc_id", "n_tokens", "own"]).collect()
     got = Counter((r.doc_id, r.n_tokens, hashlib.sha256(r.own).hexdigest(), hashlib.sha256(r.decoded).hexdigest()) for r in both)
     assert got == Counter((i, *digests(tokens, t)) for i, t in rows)
