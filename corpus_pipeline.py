@@ -70,10 +70,8 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null or empty text has no tokens; no rows give none.
     """
-    ranks = bpe.load(spark, RANKS)
-    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    both = bpe.decode(encoded.withColumn("_all", F.col("ids")), ranks, public_tokenizers.PATTERN, ["doc_id", "n_tokens", "_all"])
-    return both.select("doc_id", "n_tokens", F.sha2("_all", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = bpe.encode(docs, bpe.load(spark, RANKS), public_tokenizers.PATTERN, decoded=True)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
