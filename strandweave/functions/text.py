@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +86,40 @@ def pascal(name: Column) -> Column:
     return F.array_join(F.transform(F.filter(F.split(name, r"[^A-Za-z0-9]+"), lambda x: x != ""), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 20))), "")
 
 
+def fnv1a(data: bytes) -> int:
+    """The 64-bit FNV-1a hash as an unsigned number."""
+    h = 0xCBF29CE484222325
+    for b in data:
+        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
+def fnv1a_of(text: Column) -> Column:
+    """fnv1a() of a text's UTF-8 bytes, signed as a long; its products don't fit Spark's own arithmetic, so it is an Arrow function."""
+
+    @F.pandas_udf("long")
+    def run(values: pd.Series) -> pd.Series:
+        def one(v):
+            h = fnv1a(v.encode())
+            return h - (1 << 64) if h >> 63 else h
+
+        return values.map(one, na_action="ignore").astype("Int64")
+
+    return run(text)
+
+
+def hash_to_hex(value: Column) -> Column:
+    """A long as 16 lower-case hex digits."""
+    return F.lpad(F.lower(F.hex(value)), 16, "0")
+
+
+def hex_to_hash(text: Column) -> Column:
+    """The long that 16 hex digits stand for; null for anything else."""
+    unsigned = F.conv(text, 16, 10).cast("decimal(20,0)")
+    signed = F.when(unsigned >= F.lit(str(1 << 63)).cast("decimal(20,0)"), unsigned - F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(unsigned)
+    return F.when(text.rlike("^[0-9a-fA-F]{16}$"), signed.cast("long"))
+
+
 LANGUAGES = {"rs": "rust", "py": "python", "ts": "typescript", "js": "javascript", "c": "c", "h": "c", "cpp": "cpp", "go": "go", "java": "java", "md": "markdown", "toml": "toml", "txt": "text"}
 
 

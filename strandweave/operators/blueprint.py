@@ -47,6 +47,22 @@ def from_toml(spark: SparkSession, text: str) -> Tables:
     return tables(spark, rows)
 
 
+def to_rows(t: Tables) -> dict[str, list[tuple]]:
+    return {name: [tuple(r) for r in t[name].collect()] for name in SCHEMAS}
+
+
+def to_toml(t: Tables) -> str:
+    """One document as TOML that from_toml() reads back; nulls and empty lists are left out."""
+    from strandweave.sources.repo import to_toml as write
+
+    meta = t["meta"].first().asDict()
+    doc = {"id": meta["blueprint_id"], "title": meta["title"], "lifecycle": meta["lifecycle"], "supersedes": meta["supersedes"]}
+    for name in SCHEMAS:
+        if name != "meta":
+            doc[name] = [{k: v for k, v in r.asDict().items() if k != "blueprint_id" and v not in (None, [])} for r in t[name].collect()]
+    return write({k: v for k, v in doc.items() if v not in (None, [])})
+
+
 def _say(df: DataFrame, problem: str, at: str = "id") -> DataFrame:
     return df.select("blueprint_id", F.lit(problem).alias("problem"), F.col(at).cast("string").alias("id"))
 

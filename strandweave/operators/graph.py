@@ -174,3 +174,8 @@ def merge_graphs(first: DataFrame, *more: DataFrame) -> DataFrame:
     for m in more:
         out = out.unionByName(m)
     return out.distinct()
+
+
+def stats(edges: DataFrame) -> DataFrame:
+    """(edges, sources, targets): one row about an edge table."""
+    return edges.agg(F.count("*").alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"))

@@ -67,11 +67,18 @@ def counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity").agg(F.count("*").alias("n"))
 
 
+def _blocks(contracts: DataFrame, most: int = 1000) -> list[DataFrame]:
+    """Contracts in blocks of about `most`, each fit to be broadcast; they are declared by hand, so there is one as a rule."""
+    n = contracts.count()
+    parts = max(1, -(-n // most))
+    return [F.broadcast(contracts.where(F.pmod(F.xxhash64(*contracts.columns), F.lit(parts)) == k)) for k in range(parts)] if parts > 1 else [F.broadcast(contracts)]
+
+
 def forbidden(lines: DataFrame, contracts: DataFrame) -> DataFrame:
     """The first line of each file under a contract's path that holds one of its patterns; contracts (contract, path, pattern)."""
-    c = F.broadcast(contracts.select("contract", F.col("path").alias("prefix"), "pattern"))  # declared by hand in a config file
-    hits = lines.join(c, lines["path"].startswith(F.col("prefix")) & F.contains(F.col("line"), F.col("pattern")))
-    first = hits.groupBy("contract", "pattern", lines["path"].alias("file")).agg(F.min("line_no").alias("line"))
+    blocks = _blocks(contracts.select("contract", F.col("path").alias("prefix"), "pattern"))
+    hits = union_all([lines.join(c, F.col("path").startswith(F.col("prefix")) & F.contains(F.col("line"), F.col("pattern"))) for c in blocks])
+    first = hits.groupBy("contract", "pattern", F.col("path").alias("file")).agg(F.min("line_no").alias("line"))
     return finding(first, "contract-forbidden", "error", F.concat_ws(" ", F.lit("forbidden by"), "contract", F.lit(":"), "pattern"), F.col("file"), F.col("line"))
 
 
@@ -80,9 +87,10 @@ def anchors(lines: DataFrame, contracts: DataFrame) -> DataFrame:
 
     The trait is matched as a prefix of the implemented name, the type by whole word.
     """
-    c = F.broadcast(contracts.select("contract", F.col("path").alias("prefix"), "trait"))
+    blocks = _blocks(contracts.select("contract", F.col("path").alias("prefix"), "trait"))
     kinds = F.regexp_extract("line", r"^\s*(?:pub\s+)?(?:struct|enum)\s+([A-Za-z0-9_]+)", 1)
-    types = lines.withColumn("type", kinds).where("type != ''").join(c, lines["path"].startswith(F.col("prefix")))
+    named = lines.withColumn("type", kinds).where("type != ''")
+    types = union_all([named.join(c, F.col("path").startswith(F.col("prefix"))) for c in blocks])
     impls = lines.select(F.regexp_extract("line", r"^\s*impl(?:<[^>]*>)?\s+([A-Za-z0-9_:]+)(?:<[^>]*>)?\s+for\s+([A-Za-z0-9_]+)", 1).alias("impl"), F.regexp_extract("line", r"\s+for\s+([A-Za-z0-9_]+)", 1).alias("type")).where("impl != ''")
     missing = types.join(impls.withColumnRenamed("type", "t"), (F.col("type") == F.col("t")) & F.col("impl").startswith(F.col("trait")), "left_anti")
     return finding(missing, "contract-anchor", "error", F.concat_ws(" ", "type", F.lit("lacks"), "trait"), F.col("path"), F.col("line_no"))
@@ -96,6 +104,20 @@ def sealed(lines: DataFrame, contracts: DataFrame) -> DataFrame:
     return finding(few, "contract-seal", "warning", F.concat_ws(" ", "trait", F.lit("has implementations:"), F.col("n").cast("string")))
 
 
+def definitions(lines: DataFrame) -> DataFrame:
+    """(path, line_no, kind, name): structs, enums and traits defined, plainly public or not."""
+    item = r"^\s*(?:pub\s+)?(struct|enum|trait)\s+([A-Za-z0-9_]+)"
+    rows = lines.select("path", "line_no", F.regexp_extract("line", item, 1).alias("kind"), F.regexp_extract("line", item, 2).alias("name"))
+    return rows.where("name != ''")
+
+
+def implementations(lines: DataFrame) -> DataFrame:
+    """(path, line_no, trait, type): `impl` headers; an inherent one has no trait. A trait is meant if the name begins with it."""
+    head = r"^\s*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+([A-Za-z0-9_:]+)(?:<[^>]*>)?(?:\s+for\s+([A-Za-z0-9_:]+))?"
+    rows = lines.select("path", "line_no", F.regexp_extract("line", head, 1).alias("a"), F.regexp_extract("line", head, 2).alias("b")).where("a != ''")
+    return rows.select("path", "line_no", F.when(F.col("b") != "", F.col("a")).alias("trait"), F.when(F.col("b") != "", F.col("b")).otherwise(F.col("a")).alias("type"))
+
+
 def test_start(lines: DataFrame) -> DataFrame:
     """(path, tests_at): the first line of each file's test region."""
     return lines.where(F.contains("line", F.lit("#[cfg(test)]"))).groupBy("path").agg(F.min("line_no").alias("tests_at"))
@@ -150,6 +172,22 @@ def ffi_edges(rust_lines: DataFrame, py_lines: DataFrame) -> DataFrame:
     return used.join(modules, "py_name").select("module", "rust_file", F.col("file").alias("py_file"), F.col("line").alias("py_line"), "names")
 
 
+def export_counts(lines: DataFrame) -> DataFrame:
+    """(kind, n): how many items each kind of attribute exports."""
+    return exports(lines).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def ffi_modules(edges: DataFrame) -> DataFrame:
+    """(module, rust_file, importers, names): the edges of ffi_edges() by module."""
+    return edges.groupBy("module", "rust_file").agg(F.count_distinct("py_file").alias("importers"), F.sum(F.size("names")).alias("names"))
+
+
+def ordered(findings: DataFrame) -> DataFrame:
+    """Findings in the order of a report: the worst first, then by rule, place and message."""
+    rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
+    return findings.orderBy(rank, "rule", "file", "line", "message")
+
+
 def dead_symbols(symbols: DataFrame, refs: DataFrame, lines: DataFrame, kinds: list[int] | None = None) -> DataFrame:
     """(symbol, file, line) of symbols that no liveness root leads to, in `.rs` files, ahead of their test region."""
     from strandweave.operators.graph import reachable

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,6 +99,59 @@ def invariants(nodes: DataFrame, children: DataFrame, depends: DataFrame) -> Dat
     )
 
 
+def check(nodes: DataFrame, children: DataFrame, depends: DataFrame) -> DataFrame:
+    """(problem, id, other): what invariants() finds, nodes with two homes, nodes that the root doesn't reach, and dependency cycles."""
+    ids = nodes.select("id").distinct()
+    homes = children.groupBy(F.col("child").alias("id")).agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a != b")
+    twice = nodes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    live = levels_down(nodes).select(F.col("id").alias("_live"))
+    lost = ids.join(live, F.col("id") == F.col("_live"), "left_anti").join(nodes.select("id", "parent"), "id")
+    from strandweave.operators.graph import cycles
+
+    found = cycles(depends.where("id != target").select(F.col("id").alias("src"), F.col("target").alias("dst")))
+    say = lambda df, problem, a, b: df.select(F.lit(problem).alias("problem"), F.col(a).alias("id"), F.col(b).alias("other"))
+    roots = nodes.where("parent IS NULL").agg(F.count("*").alias("n")).where("n != 1")
+    return union_all(
+        [
+            invariants(nodes, children, depends),
+            say(homes, "two homes", "id", "b"),
+            say(twice, "named twice", "id", "id"),
+            say(lost, "not below a root", "id", "parent"),
+            say(depends.where("id = target"), "depends on itself", "id", "target"),
+            say(found, "dependency cycle", "node", "component"),
+            roots.select(F.lit("not one root").alias("problem"), F.col("n").cast("string").alias("id"), F.lit(None).cast("string").alias("other")),
+        ]
+    ).distinct()
+
+
+def fold(nodes: DataFrame, f: Callable[[dict, list], object], kind: str) -> DataFrame:
+    """(id, value) of every node under the root by any function: f(node, values of its children in order of id) from the lowest level up.
+
+    `nodes` has id, parent and whatever `f` reads; `kind` is the value's SQL type. One pass over each level. The
+    children's values of one node meet in one task, so a fold that can be an aggregate is better written as subtree().
+    """
+    rows = cut(levels_down(nodes))
+    names = [c for c in rows.columns if c != "level"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            kids = [[k["value"] for k in (sorted(ks, key=lambda k: k["id"]) if ks is not None else [])] for ks in frame["kids"]]
+            own = frame[names].to_dict("records")
+            yield pd.DataFrame({"id": frame["id"], "parent": frame["parent"], "value": [f(n, k) for n, k in zip(own, kids)]})
+
+    done, below = [], None
+    for k in range(rows.agg(F.max("level")).first()[0] or 0, -1, -1):
+        here = rows.where(F.col("level") == k).select(*names)
+        if below is None:
+            joined = here.withColumn("kids", F.lit(None).cast(f"array<struct<id:string,value:{kind}>>"))
+        else:
+            kids = below.groupBy(F.col("parent").alias("_up")).agg(F.collect_list(F.struct("id", "value")).alias("kids"))
+            joined = here.join(kids, F.col("id") == F.col("_up"), "left").drop("_up")
+        below = cut(joined.mapInPandas(run, f"id string, parent string, value {kind}"))
+        done.append(below.select("id", F.col("value").alias("v")))
+    return union_all(done).withColumnRenamed("v", "value")
+
+
 def nearest_ancestor(paths: DataFrame, homes: DataFrame) -> DataFrame:
     """(path, home): the deepest of `homes` (home) that is a directory prefix of each path by whole components; '' if none."""
     ups = paths.select("path", F.posexplode(ancestors_of(F.col("path"))).alias("depth", "home"))

@@ -261,8 +261,7 @@ def graph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_EDGES} SELECT count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM edges")
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = views.part_edges(spark, sf_dir)
-    return edges.agg(F.count("*").alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"))
+    return graph.stats(views.part_edges(spark, sf_dir))
 
 
 @query("""WITH s AS (SELECT user_id, event_id, ts, lead(ts, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until FROM events WHERE event_type = 'signup'),

@@ -41,5 +41,12 @@ def sarif(findings: DataFrame, version: str = "1") -> str:
     return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": results}]})
 
 
+def document(findings: DataFrame, version: str = "1") -> str:
+    """A report's findings and their counts by severity as one JSON object, written by the caller."""
+    counts = {r["severity"]: r["n"] for r in findings.groupBy("severity").agg(F.count("*").alias("n")).collect()}
+    rows = [json.loads(r["json"]) for r in to_json(findings).toLocalIterator()]
+    return json.dumps({"tool": "strandweave", "version": version, "counts": {k: counts.get(k, 0) for k in LEVELS}, "findings": rows}, ensure_ascii=False, separators=(",", ":"))
+
+
 def has_errors(findings: DataFrame) -> bool:
     return not findings.where("severity = 'error'").isEmpty()

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import fnmatch
+import json
 import os
+import re
 import subprocess
 import tomllib
 from collections.abc import Iterator
@@ -17,42 +18,90 @@ from strandweave.functions.text import ancestors_of, dir_of, language_of, leaf_o
 DEFAULT_SKIP = (".git", "target", "node_modules", "__pycache__", ".venv", "dist", "build", ".idea")
 
 
-def _ignore_rules(folder: str) -> list[tuple[str, bool, bool, bool]]:
-    """(pattern, negated, directories only, anchored) of a folder's ignore file."""
+#: Suffixes of sources that an index may be out of date with.
+TRACKED = ("rs", "py", "ts", "tsx", "js", "jsx", "go", "java", "kt", "c", "h", "cc", "cpp", "hpp", "rb")
+
+
+def ignore_regex(body: str) -> str:
+    """An ignore pattern as a regular expression over a path: `*` and `?` stay within a component, `**` crosses them."""
+    out, i = "", 0
+    while i < len(body):
+        c = body[i]
+        if body.startswith("**/", i):
+            out, i = out + "(?:[^/]+/)*", i + 3
+        elif body.startswith("/**", i) and i + 3 == len(body):
+            out, i = out + "/.+", i + 3
+        elif c == "*":
+            out, i = out + "[^/]*", i + (2 if body.startswith("**", i) else 1)
+        elif c == "?":
+            out, i = out + "[^/]", i + 1
+        elif c == "[" and "]" in body[i + 2 :]:
+            end = body.index("]", i + 2)
+            inner = body[i + 1 : end]
+            out, i = out + "[" + ("^" + inner[1:] if inner[0] in "!^" else inner).replace("\\", "\\\\") + "]", end + 1
+        elif c == "\\" and i + 1 < len(body):
+            out, i = out + re.escape(body[i + 1]), i + 2
+        else:
+            out, i = out + re.escape(c), i + 1
+    return out
+
+
+def _ignore_rules(path: str) -> list[tuple[re.Pattern, bool, bool, bool]]:
+    """(pattern, negated, directories only, anchored) of an ignore file; none if it can't be read."""
     rules = []
     try:
-        with open(os.path.join(folder, ".gitignore"), encoding="utf-8", errors="replace") as f:
+        with open(path, encoding="utf-8", errors="replace") as f:
             for line in f:
-                line = line.rstrip("\n").rstrip()
+                line = line.rstrip("\n").rstrip("\r")
+                line = line if line.endswith("\\ ") else line.rstrip(" ")
                 if line and not line.startswith("#"):
                     negated = line.startswith("!")
                     body = line[negated:]
                     only = body.endswith("/")
                     body = body.rstrip("/")
-                    rules.append((body.lstrip("/"), negated, only, "/" in body))
+                    if body:
+                        rules.append((re.compile(ignore_regex(body.lstrip("/"))), negated, only, "/" in body))
     except OSError:
         pass
     return rules
 
 
 def _ignored(stack: list[tuple[str, list]], path: str, is_dir: bool) -> bool:
+    """The last rule that fits decides; nearer ignore files come later."""
     verdict = False
     for base, rules in stack:
         rel = os.path.relpath(path, base)
         for pattern, negated, only, anchored in rules:
-            if only and not is_dir:
-                continue
-            if fnmatch.fnmatch(rel, pattern) if anchored else fnmatch.fnmatch(os.path.basename(rel), pattern):
+            if (is_dir or not only) and pattern.fullmatch(rel if anchored else os.path.basename(rel)):
                 verdict = not negated
     return verdict
 
 
+def _outer_rules(root: str) -> list[tuple[str, list]]:
+    """The rules from above the root: ignore files of the folders around it and the excludes of its git repository."""
+    here, stack = os.path.abspath(root), []
+    while True:
+        excludes = _ignore_rules(os.path.join(here, ".git", "info", "exclude"))
+        if excludes:
+            stack.append((here, excludes))
+        up = os.path.dirname(here)
+        if up == here:
+            return stack[::-1]
+        rules = _ignore_rules(os.path.join(up, ".gitignore"))
+        if rules:
+            stack.append((up, rules))
+        here = up
+
+
 def walk(root: str, extra_skip: tuple[str, ...] = ()) -> Iterator[tuple[str, bool]]:
-    """(relative path, is directory) in order of name; hidden, ignored and skipped entries are left out, unreadable ones passed over."""
-    skip = {*DEFAULT_SKIP, *extra_skip}
+    """(relative path, is directory) in order of name; hidden, ignored and skipped entries are left out, unreadable ones passed over.
+
+    Ignore files count in their folder and below, those around the root and the repository's own excludes too.
+    """
+    skip, root = {*DEFAULT_SKIP, *extra_skip}, os.path.abspath(root)
 
     def visit(folder: str, stack: list) -> Iterator[tuple[str, bool]]:
-        rules = _ignore_rules(folder)
+        rules = _ignore_rules(os.path.join(folder, ".gitignore"))
         stack = [*stack, (folder, rules)] if rules else stack
         try:
             names = sorted(os.listdir(folder))
@@ -67,7 +116,7 @@ def walk(root: str, extra_skip: tuple[str, ...] = ()) -> Iterator[tuple[str, boo
             if is_dir:
                 yield from visit(path, stack)
 
-    yield from visit(root, [])
+    yield from visit(root, _outer_rules(root))
 
 
 def subrepo_roots(root: str, extra_skip: tuple[str, ...] = ()) -> list[str]:
@@ -86,17 +135,16 @@ def listing(spark: SparkSession, root: str, extra_skip: tuple[str, ...] = ()) ->
     return spark.createDataFrame(list(walk(root, extra_skip)), "rel string, is_dir boolean")
 
 
-def contents(spark: SparkSession, root: str, max_bytes: int = 2_000_000, suffixes: tuple[str, ...] = ()) -> DataFrame:
-    """(rel, size, modified, content) of the files under `root`; content is null over the cap, which the listing decides without reading."""
+def contents(spark: SparkSession, root: str, max_bytes: int = 2_000_000, suffixes: tuple[str, ...] = (), extra_skip: tuple[str, ...] = ()) -> DataFrame:
+    """(rel, size, modified, content) of the files that walk() lists under `root`; content is null over the cap, which the listing decides without reading."""
+    listed = listing(spark, root, extra_skip).where("NOT is_dir").select("rel")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     prefix = "file:" + os.path.abspath(root).rstrip("/") + "/"
     rel = F.expr(f"substring(replace(path, 'file:///', 'file:/'), {len(prefix) + 1})")
     rows = files.select(rel.alias("rel"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
-    parts = F.split("rel", "/")
-    rows = rows.where(~F.exists(parts, lambda p: p.isin(*DEFAULT_SKIP) | p.startswith(".")))
     if suffixes:
-        rows = rows.where(F.lower(F.regexp_extract("rel", r"\.([^./]+)$", 1)).isin(*[s.lower() for s in suffixes]))
-    return rows
+        listed = listed.where(F.lower(F.regexp_extract("rel", r"\.([^./]+)$", 1)).isin(*[s.lower() for s in suffixes]))
+    return rows.join(listed, "rel", "left_semi")
 
 
 def texts(files: DataFrame) -> DataFrame:
@@ -129,13 +177,34 @@ def overlay(authored: DataFrame, derived: DataFrame) -> DataFrame:
 def config(text: str) -> dict:
     """A configuration with its defaults filled in."""
     doc = tomllib.loads(text)
-    return {"root": ".", "version": 1, "skip": [], "allow": [], "layers": [], **doc}
+    blank = {"root": ".", "version": 1, "skip": [], "allow": [], "layers": [], "layer_dirs": {}, "rules": {}, "contracts": [], "nodes": []}
+    return {**blank, **doc}
+
+
+def to_toml(doc: dict) -> str:
+    """A document of scalars, lists, tables and arrays of tables as TOML, which reads back equal; nulls are left out."""
+
+    def value(v) -> str:
+        if isinstance(v, list):
+            return "[" + ", ".join(map(value, v)) + "]"
+        return json.dumps(v, ensure_ascii=False) if isinstance(v, (str, bool)) else repr(v)
+
+    def key(k: str) -> str:
+        return k if re.fullmatch(r"[A-Za-z0-9_-]+", k) else json.dumps(k)
+
+    own = [f"{key(k)} = {value(v)}" for k, v in doc.items() if v is not None and not isinstance(v, dict) and not (isinstance(v, list) and v and isinstance(v[0], dict))]
+    for k, v in doc.items():
+        for head, rows in ((f"[{key(k)}]", [v] if isinstance(v, dict) else []), (f"[[{key(k)}]]", v if isinstance(v, list) and v and isinstance(v[0], dict) else [])):
+            for row in rows:
+                own += ["", head, *[f"{key(a)} = {value(b)}" for a, b in row.items() if b is not None]]
+    return "\n".join(own) + "\n"
 
 
 def changed_files(root: str, since: str | None = None, staged: bool = False) -> list[str]:
     """Paths that differ from `since` or are staged. A failing git raises: an empty answer would hide every finding."""
     out: set[str] = set()
-    for args in ([["diff", "--name-only", "--cached"]] if staged else []) + ([["diff", "--name-only", since]] if since else [["diff", "--name-only", "HEAD"]]):
+    for args in ([["diff", "--name-only", "--cached"]] if staged else []) + ([["diff", "--name-only", since]] if since else [["diff", "--name-only", "HEAD"]]) + ([] if staged else [["ls-files", "--others", "--exclude-standard"]]):
+        # files that git doesn't know yet count as changed
         out |= set(subprocess.run(["git", "-C", root, *args], check=True, capture_output=True, text=True).stdout.split("\n")) - {""}
     return sorted(out)
 
