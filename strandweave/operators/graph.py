@@ -16,11 +16,11 @@ COMPACT = 8
 def bfs(edges: DataFrame, start: DataFrame, depth: int | None, keep_start: bool = False, ordered: bool = False) -> DataFrame:
     """(node, depth) reached from `start` (node) along `edges` (src, dst); each node once, at its least depth.
 
-    The edges are computed once. One join a round, kept in the shared folder; `depth` None goes on until nothing
+    The edges are computed once and lie by src from then on, so that a round shuffles only what is new. One join a round, kept in the shared folder; `depth` None goes on until nothing
     is new. With `ordered` there is also ord: numbers that rise, with gaps, in the order of a queue-based search
     within a depth, by the parent's place, then by name. They are given range by range, not in one task.
     """
-    edges = cut(edges.select("src", "dst"))
+    edges = cut(edges.select("src", "dst").repartition("src"))
     extra = [F.lit(0).cast("long").alias("ord")] if ordered else []
     # the depth is added after each cut: Spark 4.1 fails to carry a checkpoint's own constraints through a union
     front = cut(start.select("node").distinct().select("node", *extra))
@@ -72,14 +72,33 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges with neither end in `gone` (node)."""
+    ends = [gone.select(F.col("node").alias(c)) for c in ("src", "dst")]
+    return edges.join(ends[0], "src", "left_anti").join(ends[1], "dst", "left_anti").select("src", "dst")
+
+
+def _around(edges: DataFrame) -> DataFrame:
+    """(node, color): the component of the node with the most ways in times ways out, found by going forward and back from it."""
+    out, into = (edges.groupBy(F.col(c).alias("node")).agg(F.count("*").alias(c)) for c in ("src", "dst"))
+    pivot = cut(out.join(into, "node").orderBy(F.desc(F.col("src") * F.col("dst")), "node").limit(1).select("node"))
+    forward = reachable(edges, pivot)
+    back = reachable(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pivot)
+    return cut(forward.join(back, "node", "left_semi").crossJoin(pivot.withColumnRenamed("node", "color")))  # the pivot is one row
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """(node, component): strongly connected components of more than one node, named by their least member.
 
-    What can't lie on a cycle is trimmed first. Then each node takes the greatest name that reaches it; a name
-    that its own node keeps marks a component, made of the nodes of that colour that lead back to it. Those are
-    removed and the rest is coloured again.
+    What can't lie on a cycle is trimmed first. The component of the best connected node, the giant one of most
+    graphs, is found from that node. Of the rest each node takes the greatest name that reaches it; a name that
+    its own node keeps marks a component, made of the nodes of that colour that lead back to it. Those are removed and
+    what is left is coloured again. A colouring takes as many rounds as its longest shortest way has steps.
     """
     edges, found = _trimmed(edges), None
+    if not edges.isEmpty():
+        found = _around(edges)
+        edges = _trimmed(_without(edges, found))
     while not edges.isEmpty():
         color = cut(edges.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("color")))
         while True:
@@ -92,9 +111,8 @@ def cycles(edges: DataFrame) -> DataFrame:
         inside = cut(edges.join(c1, "src").join(c2, "dst").where("cs = cd").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         back = reachable(inside, color.where("node = color").select("node")).join(color, "node")
         part = cut(back.select("node", "color"))
-        found = part if found is None else found.union(part)
-        gone = part.select(F.col("node").alias("src"))
-        edges = _trimmed(edges.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti"))
+        found = found.union(part)
+        edges = _trimmed(_without(edges, part))
     if found is None:
         return edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).limit(0)
     named = found.groupBy("color").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")

@@ -30,19 +30,26 @@ def closure(nodes: DataFrame) -> DataFrame:
         levels.append(front.withColumn("distance", F.lit(len(levels))))
 
 
-def levels_down(nodes: DataFrame) -> DataFrame:
-    """(id, parent, kind, loc, level) of the nodes under the root."""
-    # every level reads all nodes: what makes them is computed once
-    nodes = cut(nodes)
-    # the level is added after each cut: Spark 4.1 fails to carry a checkpoint's own constraints through a union
-    level = cut(nodes.where("parent IS NULL"))
-    out = [level.withColumn("level", F.lit(0))]
+def levels(nodes: DataFrame) -> list[DataFrame]:
+    """The nodes under the root by level, each level in the shared folder with the columns of `nodes`.
+
+    Every level reads all nodes, so what makes them is computed once and they lie by parent from then on: only
+    the level above is shuffled to meet them.
+    """
+    nodes = cut(nodes.repartition("parent"))
+    out = [cut(nodes.where("parent IS NULL"))]
     while True:
-        up = level.select(F.col("id").alias("up"))
+        up = out[-1].select(F.col("id").alias("up"))
         level = cut(nodes.join(up, nodes["parent"] == up["up"]).drop("up"))
         if level.isEmpty():
-            return union_all(out)
-        out.append(level.withColumn("level", F.lit(len(out))))
+            return out
+        out.append(level)
+
+
+def levels_down(nodes: DataFrame) -> DataFrame:
+    """The nodes under the root with their level."""
+    # the level is added after each cut: Spark 4.1 fails to carry a checkpoint's own constraints through a union
+    return union_all([rows.withColumn("level", F.lit(k)) for k, rows in enumerate(levels(nodes))])
 
 
 def subtree(nodes: DataFrame) -> DataFrame:
@@ -52,13 +59,10 @@ def subtree(nodes: DataFrame) -> DataFrame:
     where a closure would move it once for each ancestor. An atom has its own lines as score; a composite the
     sum over its children times 1 + ln(children)/10. An empty composite has depth 1.
     """
-    rows = cut(levels_down(nodes))
-    deepest = rows.agg(F.max("level")).first()[0] or 0
     atom = F.col("kind") == "atom"
     done: list[DataFrame] = []
     below = None
-    for k in range(deepest, -1, -1):
-        here = rows.where(F.col("level") == k)
+    for here in reversed(levels(nodes.select("id", "parent", "kind", "loc"))):
         if below is None:
             sums = here.select(F.col("id").alias("up"), *[F.lit(0).cast("long").alias(c) for c in ("f", "l", "d", "n")], F.lit(0.0).alias("s")).limit(0)
         else:
@@ -74,7 +78,8 @@ def subtree(nodes: DataFrame) -> DataFrame:
             F.when(atom, F.coalesce(here["loc"], F.lit(0)).cast("double")).otherwise(F.col("s") * (1 + F.log(F.greatest(F.col("n"), F.lit(1))) / 10)).alias("score"),
         )
         below = cut(below)
-        done.append(below)
+        # aliased anew: Spark 4.1 fails to carry a checkpoint's own constraints through a union
+        done.append(below.withColumn("files", F.col("files") + 0))
     return union_all(done)
 
 
@@ -130,8 +135,7 @@ def fold(nodes: DataFrame, f: Callable[[dict, list], object], kind: str) -> Data
     `nodes` has id, parent and whatever `f` reads; `kind` is the value's SQL type. One pass over each level. The
     children's values of one node meet in one task, so a fold that can be an aggregate is better written as subtree().
     """
-    rows = cut(levels_down(nodes))
-    names = [c for c in rows.columns if c != "level"]
+    names = nodes.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -140,8 +144,7 @@ def fold(nodes: DataFrame, f: Callable[[dict, list], object], kind: str) -> Data
             yield pd.DataFrame({"id": frame["id"], "parent": frame["parent"], "value": [f(n, k) for n, k in zip(own, kids)]})
 
     done, below = [], None
-    for k in range(rows.agg(F.max("level")).first()[0] or 0, -1, -1):
-        here = rows.where(F.col("level") == k).select(*names)
+    for here in reversed(levels(nodes)):
         if below is None:
             joined = here.withColumn("kids", F.lit(None).cast(f"array<struct<id:string,value:{kind}>>"))
         else:
