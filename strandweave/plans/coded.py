@@ -69,6 +69,21 @@ def ffi_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.exports(tx.lines_table(_rust(spark, sf_dir)))
 
 
+@query(f"WITH {_PART} SELECT file AS path, 3 AS line_no, 'struct' AS kind, 'Part' || k AS name FROM r UNION ALL SELECT file, 6, 'struct', 'Bound' || k FROM r")
+def code_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.definitions(tx.lines_table(_rust(spark, sf_dir)))
+
+
+@query(f"WITH {_PART} SELECT file AS path, 4 AS line_no, 'Codec' AS trait, 'Part' || k AS type FROM r WHERE k % 5 = 0 UNION ALL SELECT file, 10, 'T' || p_size || 'x', 'Part' || k FROM r WHERE k % 9 = 0")
+def code_implementations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.implementations(tx.lines_table(_rust(spark, sf_dir)))
+
+
+@query(f"WITH {_PART} SELECT 'class' AS kind, count(*) AS n FROM r WHERE k % 7 = 0 UNION ALL SELECT 'module', count(*) FROM r WHERE k % 11 = 0")
+def ffi_export_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.export_counts(tx.lines_table(_rust(spark, sf_dir)))
+
+
 def _python(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, text): a script for each supplier that imports the module of one part."""
     s = table(spark, sf_dir, "supplier")
@@ -83,6 +98,11 @@ def ffi_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("names", F.array_join("names", ","))
 
 
+@query(f"WITH {_PART} SELECT 'pkg.module' || k AS module, file AS rust_file, count(*) AS importers, 2 * count(*) AS names FROM r JOIN supplier ON k = s_suppkey * 3 WHERE k % 11 = 0 GROUP BY ALL")
+def ffi_by_module(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.ffi_modules(rules.ffi_edges(tx.lines_table(_rust(spark, sf_dir)), tx.lines_table(_python(spark, sf_dir))))
+
+
 @query(f"WITH {_PART} SELECT file, 3 AS line, 'Part' || k || ' lacks Codec' AS message FROM r WHERE starts_with(file, 'c1') AND k % 5 != 0 UNION ALL SELECT file, 6, 'Bound' || k || ' lacks Codec' FROM r WHERE starts_with(file, 'c1')")
 def contract_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     contracts = spark.createDataFrame([("codec", "c1", "Codec")], "contract string, path string, trait string")
@@ -125,6 +145,14 @@ def name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), tx.snake(F.concat("p_type", "p_name")).alias("snake"), tx.normalize_line(line).alias("normal"))
 
 
+@query("SELECT p_partkey AS id, lpad(lower(to_hex(h)), 16, '0') AS hex, true AS back FROM (SELECT p_partkey, CAST(list_reduce(list_prepend(CAST('14695981039346656037' AS HUGEINT), list_transform(range(1, length(p_brand) + 1), lambda i: CAST(ascii(substr(p_brand, CAST(i AS INT), 1)) AS HUGEINT))), lambda a, b: (xor(a, b) * 1099511628211) % CAST('18446744073709551616' AS HUGEINT)) AS UBIGINT) AS h FROM part)")
+def name_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FNV-1a of each part's brand, written as hex and read again."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), tx.fnv1a_of(F.col("p_brand")).alias("h"))
+    hexed = p.select("id", "h", tx.hash_to_hex(F.col("h")).alias("hex"))
+    return hexed.select("id", "hex", (tx.hex_to_hash(F.col("hex")) == F.col("h")).alias("back"))
+
+
 # graphs
 
 

@@ -118,7 +118,11 @@ class FactStore(Protocol):
 
 
 class ParquetFactStore:
-    """Immutable snapshots under `root`, partitioned by id; adding one that is there already changes nothing."""
+    """Immutable snapshots under `root`, a folder of facts for each id; adding one that is there already changes nothing.
+
+    A snapshot is there once its row is: its facts are written first, under their id and over what a broken
+    attempt may have left, so a writer that fails or two that race leave nothing twice.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -129,22 +133,24 @@ class ParquetFactStore:
         except AnalysisException:
             return self.spark.createDataFrame([], schema)
 
+    def _folder(self, snapshot: str) -> str:
+        return f"facts/{snapshot.replace(':', '-')}"
+
     def snapshots(self) -> DataFrame:
-        return self._read("snapshots", "id string, parent_id string, fact_count long")
+        return self._read("snapshots", "id string, parent_id string, fact_count long").dropDuplicates(["id"])
 
     def create_snapshot(self, parent: str | None, facts: DataFrame) -> str:
         own = digest(facts, parent)
         if self.snapshots().where(F.col("id") == own).isEmpty():
-            rows = ordinals(facts).withColumn("snapshot_id", F.lit(own))
-            rows.write.mode("append").partitionBy("snapshot_id").parquet(f"{self.root}/facts")
-            n = self.spark.read.parquet(f"{self.root}/facts").where(F.col("snapshot_id") == own).count()
+            ordinals(facts).write.mode("overwrite").parquet(f"{self.root}/{self._folder(own)}")
+            n = self.spark.read.parquet(f"{self.root}/{self._folder(own)}").count()
             self.spark.createDataFrame([(own, parent, n)], "id string, parent_id string, fact_count long").write.mode("append").parquet(f"{self.root}/snapshots")
         return own
 
     def facts(self, snapshot: str) -> DataFrame:
         if self.snapshots().where(F.col("id") == snapshot).isEmpty():
             raise KeyError(f"no snapshot {snapshot}")
-        rows = self._read("facts", "ordinal long, payload string, snapshot_id string").where(F.col("snapshot_id") == snapshot)
+        rows = self._read(self._folder(snapshot), "ordinal long, payload string")
         stored = FACT.replace("attributes map<string,string>", "attributes array<struct<key:string,value:string>>")
         out = rows.select("ordinal", F.from_json("payload", stored).alias("f")).select("ordinal", "f.*")
         return out.withColumn("attributes", F.map_from_entries("attributes"))
@@ -162,7 +168,8 @@ class ParquetFactStore:
 
     def refs(self) -> DataFrame:
         rows = self._read("refs", "name string, snapshot_id string, version long")
-        return rows.groupBy("name").agg(F.max_by("snapshot_id", "version").alias("snapshot_id"))
+        # of two writers that took the same version one wins for all readers
+        return rows.groupBy("name").agg(F.max_by("snapshot_id", F.struct("version", "snapshot_id")).alias("snapshot_id"))
 
     def resolve(self, name_or_id: str) -> str:
         row = self.refs().where(F.col("name") == name_or_id).first()

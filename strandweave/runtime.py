@@ -56,6 +56,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def replace_table(df: DataFrame, path: str) -> None:
+    """Writes `df` as Parquet to `path`, complete before the table that lies there goes; `df` may read that one.
+
+    The new files are written beside it. The old table is moved aside and deleted once the new one is in place.
+    """
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    jvm = df.sparkSession._jvm
+    at = [jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.old")]
+    fs = at[0].getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    fs.delete(at[2], True)
+    if fs.exists(at[0]) and not fs.rename(at[0], at[2]) or not fs.rename(at[1], at[0]):
+        raise OSError(f"{path} could not be replaced")
+    fs.delete(at[2], True)
+
+
 def join_hot(big: DataFrame, side: DataFrame, keys: list[str], n: str, total: int, parts: int = 1000) -> DataFrame:
     """Left join of `big` with `side`, which has one row per key and in `n` the rows of `big` under it.
 

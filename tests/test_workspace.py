@@ -13,6 +13,7 @@ from strandweave.operators import blueprint, rules
 from strandweave.operators import tree as trees
 from strandweave.plans import facts, gate, workspace
 from strandweave.sources import repo
+from strandweave.streaming import incremental
 from tests.test_scenarios import BLUEPRINT
 
 DOCUMENT = """
@@ -74,6 +75,17 @@ def test_scan_leaves_ignored_files_out(spark, tmp_path):
     assert [r.rel for r in repo.contents(spark, str(tmp_path)).collect()] == ["a.rs"]
 
 
+def test_scan_configuration_and_cache(spark, tmp_path):
+    write(tmp_path, a_DOT_txt="one long line\n", b_DOT_txt="two", gen__c_DOT_txt="three")
+    config = incremental.ScanConfig.gate().skipping("gen").with_shingles().with_cache().max_bytes(8)
+    for hits in (0, 2):
+        facts, counts = incremental.scan(spark, str(tmp_path), config)
+        assert counts.first() == (2, hits)
+    assert {(r.rel, r.hash is None, tuple(r.shingles or ())) for r in facts.collect()} == {("a.txt", True, ()), ("b.txt", False, ())}
+    (tmp_path / "b.txt").write_text("changed")
+    assert incremental.scan(spark, str(tmp_path), config)[1].first() == (2, 1)
+
+
 def test_toml_round_trips(spark):
     doc = {"root": ".", "version": 1, "skip": ["a", 'q"u'], "on": True, "rules": {"most_depth": 3, "odd key": "x"}, "contracts": [{"id": "c", "forbid": ["p.q"]}, {"id": "d", "forbid": []}], "empty": []}
     assert repo.config(repo.to_toml(doc)) == repo.config("") | doc
