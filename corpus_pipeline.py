@@ -86,10 +86,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over `documents`; each result but the last is written as Parquet to the shared folder and read again."""
+    """The stages over `documents`; each result but the last is written as Parquet to the shared folder and read again.
+
+    A stage's result goes once the next one's is written; the last of them stays, as the rows given read it.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            before = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            before.getFileSystem(spark._jsc.hadoopConfiguration()).delete(before, True)
     return STAGES[-1][1](spark, docs, sf_dir)
