@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,13 +148,24 @@ def fan_in(edges: DataFrame, top: int = 8) -> DataFrame:
     return edges.select("src", "dst").distinct().groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "node").limit(top)
 
 
-def innermost(refs: DataFrame, ranges: DataFrame, span: list[Column]) -> DataFrame:
+def innermost(refs: DataFrame, ranges: DataFrame, span: list[Column], number: Callable[[Column], Column]) -> DataFrame:
     """Each reference (file, ref, at) with the narrowest of `ranges` (file, owner, start, end, ord) that holds it, ends included.
 
-    `span` orders ranges by width; ties go to the first by ord.
+    `span` orders ranges by width; ties go to the first by ord. `number` gives a place's whole number, which rises
+    with places. A range lies in the least block of 2**k numbers, aligned by its size, that holds both its ends; a
+    reference looks into its block of each size that occurs, 64 at most. So a file's references and ranges meet by
+    block, not all with all.
     """
-    inside = (refs["file"] == ranges["file"]) & (refs["at"] >= ranges["start"]) & (refs["at"] <= ranges["end"])
-    hits = refs.join(ranges, inside).select(refs["file"], "ref", "owner", F.struct(*span, "ord").alias("width"))
+    lo, hi = number(F.col("start")).cast("long"), number(F.col("end")).cast("long")
+    apart = lo.bitwiseXOR(hi)
+    held = ranges.withColumn("_k", F.when(apart == 0, 0).otherwise(F.length(F.bin(apart))).cast("int")).withColumn("_lo", lo)
+    held = held.withColumn("_block", F.expr("CASE WHEN _k > 62 THEN 0 ELSE shiftright(_lo, _k) END")).where("start <= end")
+    # a row for each size that occurs
+    sizes = held.select(F.col("_k").alias("_size")).distinct()
+    asked = refs.withColumn("_at", number(F.col("at")).cast("long")).crossJoin(F.broadcast(sizes))
+    asked = asked.select(F.col("file").alias("_file"), "ref", "at", "_size", F.expr("CASE WHEN _size > 62 THEN 0 ELSE shiftright(_at, _size) END").alias("_own"))
+    same = (F.col("_file") == F.col("file")) & (F.col("_size") == F.col("_k")) & (F.col("_own") == F.col("_block"))
+    hits = asked.join(held, same & (F.col("at") >= F.col("start")) & (F.col("at") <= F.col("end"))).select("file", "ref", "owner", F.struct(*span, "ord").alias("width"))
     return hits.groupBy("file", "ref").agg(F.min_by("owner", "width").alias("owner"))
 
 
@@ -180,7 +193,7 @@ def code_graph(occurrences: DataFrame, symbols: DataFrame) -> dict[str, DataFram
     refs = uses.select("file", F.struct("ord", "symbol").alias("ref"), F.struct(F.col("r.sl"), F.col("r.sc")).alias("at"))
     ranges = defs.select("file", F.col("symbol").alias("owner"), F.struct(F.col("e.sl"), F.col("e.sc")).alias("start"), F.struct(F.col("e.el").alias("sl"), F.col("e.ec").alias("sc")).alias("end"), "ord")
     width = [(F.col("end.sl") - F.col("start.sl")).alias("dl"), (F.col("end.sc") - F.col("start.sc")).alias("dc")]
-    owned = innermost(refs, ranges, width)
+    owned = innermost(refs, ranges, width, lambda place: place["sl"])
     edges = owned.select(F.col("owner").alias("src"), F.col("ref.symbol").alias("dst")).where("src != dst").distinct()
     deps = uses.where("kind != 29 AND file != target_file").select(F.col("file").alias("src"), F.col("target_file").alias("dst")).distinct()
     return {"symbols": known, "refs": edges, "file_deps": deps}

@@ -269,7 +269,7 @@ h AS (SELECT e.user_id AS file, e.event_id AS ref, s.event_id AS owner, row_numb
 SELECT file, ref, owner FROM h WHERE k = 1""")
 def range_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs, owners = views.ranges(spark, sf_dir)
-    return graph.innermost(refs, owners, [(F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))).alias("span")])
+    return graph.innermost(refs, owners, [(F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))).alias("span")], lambda place: F.unix_micros(place.cast("timestamp")))
 
 
 # facts
