@@ -95,12 +95,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         paged = paged.withColumn("_maybe", F.expr(f"_bits IS NOT NULL AND shiftright({byte}, int(_b % 8)) % 2 = 1"))
         maybe = paged.where("_maybe").select(*rows.columns).join(side, same, "left")
         joined = maybe.unionByName(paged.where("NOT _maybe").select(*rows.columns), allowMissingColumns=True)
-    joined = joined.withColumn("_lines", F.split(F.col(text), "\n"))
+    # only texts that lose lines are split
+    joined = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split(F.col(text), "\n")))
+    feeds = F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
     joined = joined.withColumn("_worded", F.when(F.col("_gone").isNotNull(), F.expr(_worded("_lines"))))
     left = F.expr("array_except(sequence(0, size(_lines) - 1), transform(_gone, j -> _worded[j]))")
     joined = joined.withColumn("_left", F.when(F.col("_gone").isNotNull(), left))
     new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.expr("array_join(transform(_left, i -> _lines[i]), '\n')"))
     kept = [(c, name) for c, name in zip(own.columns, docs.columns) if name.lower() not in ("n_lines", "n_removed")]
-    counts = [F.coalesce(F.size("_lines"), F.lit(0)), F.coalesce(F.size("_gone"), F.lit(0))]
-    out = joined.select(*[new.alias(c) if c == text else F.col(c) for c, _ in kept], *[F.greatest(c, F.lit(0)).cast("long").alias(f"_n{i}") for i, c in enumerate(counts)])
+    counts = [F.coalesce(feeds + 1, F.lit(0)), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))]
+    out = joined.select(*[new.alias(c) if c == text else F.col(c) for c, _ in kept], *[c.cast("long").alias(f"_n{i}") for i, c in enumerate(counts)])
     return out.toDF(*[name for _, name in kept], "n_lines", "n_removed")
