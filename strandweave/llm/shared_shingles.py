@@ -23,6 +23,8 @@ from strandweave.runtime import cut
 
 #: Shingles that one task counts at a time, about, and those that are packed together.
 A_PART, A_PACK = 1 << 19, 1 << 17
+#: Packs that meet in one task.
+MEET = 1024
 #: Texts up to which the marks of those to compare are broadcast: 16 bytes each.
 FEW = 1_000_000
 
@@ -63,7 +65,7 @@ def _pack(sets: dict[int, np.ndarray], parts: int) -> pa.RecordBatch:
         own = slice(start, end)
         alone = ~several[own]
         used, at = np.unique(owner[own][alone], return_inverse=True)
-        rows.append((p, low[own][alone].tobytes(), at.astype(np.uint16).tobytes(), names[used].tobytes(), np.unique(low[own][~alone]).tobytes()))
+        rows.append((p, low[own][alone].tobytes(), at.astype(np.uint32).tobytes(), names[used].tobytes(), np.unique(low[own][~alone]).tobytes()))
     columns = list(zip(*rows))
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["part", "low", "owner", "owners", "shared"])
 
@@ -88,11 +90,12 @@ def _packed(parts: int, shingle: int):
     return run
 
 
-def _alone(table: pa.Table) -> pa.Table:
-    """(set, alone): how many shingles of one part only this set of shingles has. Equal halves of hashes count as shared."""
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The halves that one set alone has, whose they are, and those that several have, from packed rows of one part."""
     read = lambda column, kind: [np.frombuffer(b, dtype=kind) for b in table[column].to_pylist()]
     low = np.concatenate(read("low", np.uint32))
-    owner = np.concatenate([names[at] for names, at in zip(read("owners", np.int64), read("owner", np.uint16))])
+    owner = np.concatenate([names[at] for names, at in zip(read("owners", np.int64), read("owner", np.uint32))])
+    shared = np.unique(np.concatenate(read("shared", np.uint32)))
     order = np.lexsort((owner, low))
     low, owner = low[order], owner[order]
     new = np.ones(len(low), dtype=bool)
@@ -100,15 +103,37 @@ def _alone(table: pa.Table) -> pa.Table:
     low, owner = low[new], owner[new]
     twice = np.zeros(len(low) + 1, dtype=bool)
     twice[1:-1] = low[1:] == low[:-1]
-    single = ~(twice[1:] | twice[:-1]) & ~np.isin(low, np.concatenate(read("shared", np.uint32)))
-    names, n = np.unique(owner[single], return_counts=True)
+    several = twice[1:] | twice[:-1]
+    single = ~several & ~np.isin(low, shared)
+    return low[single], owner[single], np.union1d(shared, low[several])
+
+
+def _repacked(table: pa.Table) -> pa.Table:
+    low, owner, shared = _merged(table)
+    names, at = np.unique(owner, return_inverse=True)
+    row = {"part": table["part"].slice(0, 1).combine_chunks(), "salt": table["salt"].slice(0, 1).combine_chunks()}
+    return pa.table({**row, **{k: pa.array([v.tobytes()], pa.binary()) for k, v in (("low", low), ("owner", at.astype(np.uint32)), ("owners", names), ("shared", shared))}})
+
+
+def _alone(table: pa.Table) -> pa.Table:
+    """(set, alone): how many shingles of one part only this set of shingles has. Equal halves of hashes count as shared."""
+    names, n = np.unique(_merged(table)[1], return_counts=True)
     return pa.table({"set": pa.array(names, pa.int64()), "alone": pa.array(n, pa.int64())})
 
 
 def with_partners(docs: DataFrame, sets: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The rows of `sets` (set, n) at least the share `similarity` of whose shingles occur in another set of `docs`."""
+    """The rows of `sets` (set, n) at least the share `similarity` of whose shingles occur in another set of `docs`.
+
+    A shingle that most texts have comes once from each pack. Packs are merged some at a time until few enough are
+    left to meet in one task, so that such a shingle doesn't fill it.
+    """
     total = sets.agg(F.sum("n")).first()[0] or 0
-    packed = docs.select(text_col).mapInArrow(_packed(max(1, -(-total // A_PART)), shingle), "part int, low binary, owner binary, owners binary, shared binary")
+    kind, packs = "low binary, owner binary, owners binary, shared binary", -(-total // A_PACK)
+    packed = docs.select(text_col).mapInArrow(_packed(max(1, -(-total // A_PART)), shingle), f"part int, {kind}")
+    while packs > MEET:
+        packs = -(-packs // MEET)
+        salted = packed.withColumn("salt", F.pmod(F.xxhash64("low", "shared"), F.lit(packs)).cast("int"))
+        packed = salted.groupBy("part", "salt").applyInArrow(_repacked, f"part int, salt int, {kind}").drop("salt")
     alone = packed.groupBy("part").applyInArrow(_alone, "set long, alone long").groupBy(F.col("set").alias("_set")).agg(F.sum("alone").alias("alone"))
     joined = sets.join(alone, F.col("set") == F.col("_set"), "left")
     return joined.where(F.col("n") - F.coalesce("alone", F.lit(0)) >= F.lit(similarity) * F.col("n") - 1e-9).where("n > 0").select(*sets.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from strandweave.llm.arrow import mapper, texts
 from strandweave.llm.columns import only, place, placed
 from strandweave.llm.components import components
-from strandweave.llm.shared_shingles import arrays_of, chosen, hashes_of, set_id, set_links, with_partners
+from strandweave.llm.shared_shingles import FEW, arrays_of, chosen, hashes_of, set_id, set_links, with_partners
 from strandweave.runtime import cut, join_hot
 
 BITS = 64
@@ -326,4 +326,18 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = _roots(classes, cut(set_links(arrays, similarity)), threshold)
     rooted = classes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node"))
     kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select("least._k1", "least._k2")
-    return marked.join(kept, list(marks), "left_semi").dropDuplicates(list(marks)).select(*own.columns).toDF(*names)
+    return _only_kept(marked, rows, kept, list(marks)).select(*own.columns).toDF(*names)
+
+
+def _only_kept(docs: DataFrame, rows: DataFrame, kept: DataFrame, marks: list[str], few: int = FEW) -> DataFrame:
+    """One row of `docs` for each of the marks in `kept`; `rows` has the marks of all rows of `docs`.
+
+    Marks that go, and those that several rows have, are few as a rule. Up to `few` of them, counted first, are
+    broadcast, so that no text moves but those of equal rows; of more, all rows are shuffled by their marks.
+    """
+    counts = rows.groupBy(*marks).agg(F.count("*").alias("_rows"))
+    todo = cut(counts.join(kept.withColumn("_kept", F.lit(True)), marks, "left").where("_kept IS NULL OR _rows > 1").select(*marks, F.col("_kept").isNull().alias("_gone")))
+    if todo.count() > few:
+        return docs.join(kept, marks, "left_semi").dropDuplicates(marks)
+    single = docs.join(F.broadcast(todo.select(*marks)), marks, "left_anti")
+    return single.unionByName(docs.join(F.broadcast(todo.where("NOT _gone").select(*marks)), marks, "left_semi").dropDuplicates(marks))

@@ -5,7 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline as cp
-from strandweave.llm import decision_list, mixing, simhash
+from strandweave.llm import decision_list, mixing, shared_shingles, simhash
 from tests.harness import DATA
 from tests.llm.test_ops import DOC, ODD, brute_print, brute_stats, groups
 
@@ -39,7 +39,7 @@ def brute_alike(texts, least=0.8, size=5):
     return [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])] + [(empty[0], i) for i in empty[1:]]
 
 
-def test_groups_of_near_copies_keep_one(spark):
+def test_groups_of_near_copies_keep_one(spark, monkeypatch):
     """Hundreds of edited copies, a chain, a common passage in unlike texts, and odd rows, against all pairs."""
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefghijklmnop", k=4))
@@ -62,7 +62,16 @@ def test_groups_of_near_copies_keep_one(spark):
     links = [*brute_alike(texts), *[(a, b) for a in texts for b in range(a + 1, len(rows)) if (brute_print(rows[a], 5) ^ brute_print(rows[b], 5)).bit_count() <= 4]]
     want = sorted(set(groups(list(texts), links).values()))
     table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.representatives(table).collect()) == want and 100 < len(want) < len(rows) - 200
+    assert sorted(r.doc_id for r in simhash.representatives(table).collect()) == want
+    # equal rows, and more marks to go than are broadcast
+    twice, plain = table.union(table.where("doc_id % 7 = 0")), simhash._only_kept
+    monkeypatch.setattr(simhash, "_only_kept", lambda *args: plain(*args, few=0))
+    assert sorted(r.doc_id for r in simhash.representatives(twice).collect()) == want
+    monkeypatch.setattr(simhash, "_only_kept", plain)
+    # many packs, merged in several rounds
+    for name, value in (("A_PACK", 500), ("A_PART", 4000), ("MEET", 4)):
+        monkeypatch.setattr(shared_shingles, name, value)
+    assert sorted(r.doc_id for r in simhash.representatives(twice).collect()) == want and 100 < len(want) < len(rows) - 200
 
 
 def test_stages_against_brute_force(spark, tmp_path):
