@@ -8,12 +8,15 @@ to_port, binding, witness), witness (id, kind, covers array, command).
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import subprocess
 import tomllib
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.functions.text import union_all
@@ -128,24 +131,81 @@ def validate(t: Tables) -> DataFrame:
     return union_all(out).distinct()
 
 
-def _one(df: DataFrame, *columns: Column) -> Column:
-    return F.array_sort(F.collect_list(F.to_json(F.struct(*columns))))
+#: Characters of sorted rows that go into one piece of a document's text.
+PIECE = 4096
+_SHAPE = ("slot", "port", "flow")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (blueprint_id, kind, row, ord) as pieces of neighbours of one kind, each with the ord of its first row."""
+    for batch in batches:
+        ids, kinds, rows, ords = (c.to_pylist() for c in batch.columns)
+        out, i = [], 0
+        while i < len(rows):
+            j, size = i, 0
+            while j < len(rows) and size < PIECE and ids[j] == ids[i] and kinds[j] == kinds[i]:
+                size += len(rows[j])
+                j += 1
+            out.append((ids[i], kinds[i], ords[i], ",".join(rows[i:j])))
+            i = j
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int64(), pa.string()))], ["blueprint_id", "kind", "ord", "piece"])
+
+
+class _Shape:
+    """The hash of `{"slot":[...],"port":[...],"flow":[...]}`, whose rows come in order."""
+
+    def __init__(self) -> None:
+        self.hash, self.kind, self.any = hashlib.sha256(f'{{"{_SHAPE[0]}":['.encode()), 0, False
+
+    def add(self, kind: int, piece: str) -> None:
+        for k in range(self.kind + 1, kind + 1):
+            self.hash.update(f'],"{_SHAPE[k]}":['.encode())
+            self.kind, self.any = k, False
+        self.hash.update(("," if self.any else "").encode() + piece.encode())
+        self.any = True
+
+    def end(self) -> str:
+        tail = "".join(f'],"{k}":[' for k in _SHAPE[self.kind + 1 :])
+        self.hash.update(f"{tail}]}}".encode())
+        return "sha256:" + self.hash.hexdigest()
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(blueprint_id, digest) from pieces sorted by document and ord."""
+    own, shape, done = None, None, []
+    for batch in batches:
+        for i, kind, _, piece in zip(*(c.to_pylist() for c in batch.columns)):
+            if i != own:
+                if shape is not None:
+                    done.append((own, shape.end()))
+                own, shape = i, _Shape()
+            shape.add(kind, piece)
+    if shape is not None:
+        done.append((own, shape.end()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*done)], ["blueprint_id", "digest"])
 
 
 def shape_digests(t: Tables) -> DataFrame:
-    """(blueprint_id, digest) over slots, ports and flows in order; prose, bindings, adapters and witnesses don't count."""
+    """(blueprint_id, digest) over slots, ports and flows in order; prose, bindings, adapters and witnesses don't count.
+
+    The rows of all documents are sorted by ranges. The text that is hashed is put together piece by piece and never
+    lies in memory as a whole, so a document may be larger than a task; only its bytes pass through one.
+    """
     c = F.col
-    parts = {
-        "slot": t["slot"].groupBy("blueprint_id").agg(_one(t["slot"], c("id"), F.array_sort("invariants").alias("invariants"), c("allow_fusion")).alias("slot")),
-        "port": t["port"].groupBy("blueprint_id").agg(_one(t["port"], c("id"), c("slot"), c("direction"), c("type"), c("permanent")).alias("port")),
-        "flow": t["flow"].groupBy("blueprint_id").agg(_one(t["flow"], c("id"), c("from"), c("to"), c("stateful")).alias("flow")),
+    fields = {
+        "slot": [c("id"), F.array_sort("invariants").alias("invariants"), c("allow_fusion")],
+        "port": [c("id"), c("slot"), c("direction"), c("type"), c("permanent")],
+        "flow": [c("id"), c("from"), c("to"), c("stateful")],
     }
-    rows = t["meta"].select("blueprint_id").distinct()
-    for p in parts.values():
-        rows = rows.join(p, "blueprint_id", "left")
-    none = F.array().cast("array<string>")
-    whole = F.to_json(F.struct(*[F.coalesce(F.col(k), none).alias(k) for k in parts]))
-    return rows.select("blueprint_id", F.concat(F.lit("sha256:"), F.sha2(whole.cast("binary"), 256)).alias("digest"))
+    order = ["blueprint_id", "kind", "row"]
+    rows = union_all([t[name].where("blueprint_id IS NOT NULL").select("blueprint_id", F.lit(k).alias("kind"), F.to_json(F.struct(*fields[name])).alias("row")) for k, name in enumerate(_SHAPE)])
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    quoted = F.to_json(F.array("row"))
+    rows = rows.select("blueprint_id", "kind", F.substring(quoted, F.lit(2), F.length(quoted) - 2).alias("row"), F.monotonically_increasing_id().alias("ord"))
+    pieces = rows.mapInArrow(_packed, "blueprint_id string, kind int, ord long, piece string")
+    digests = pieces.repartition("blueprint_id").sortWithinPartitions("blueprint_id", "ord").mapInArrow(_hashed, "blueprint_id string, digest string")
+    return t["meta"].select("blueprint_id").distinct().join(digests, "blueprint_id", "left").select("blueprint_id", F.coalesce("digest", F.lit(_Shape().end())).alias("digest"))
 
 
 def shape_change(old: Tables, new: Tables) -> str:
