@@ -53,34 +53,78 @@ def levels_down(nodes: DataFrame) -> DataFrame:
 
 
 def subtree(nodes: DataFrame) -> DataFrame:
-    """(id, parent, kind, files, loc, depth, score): all folds in one pass from the lowest level up.
+    """(id, parent, kind, files, loc, depth, score): all folds of the nodes under the root, from the leaves up.
 
-    Each level is aggregated into its parents and joined to the level above, so a fold moves each node once,
-    where a closure would move it once for each ancestor. An atom has its own lines as score; a composite the
-    sum over its children times 1 + ln(children)/10. An empty composite has depth 1.
+    An atom has its own lines as score; a composite the sum over its children times 1 + ln(children)/10. An empty
+    composite has depth 1. Atoms without children, most of a tree, are summed into their parents at once. Of the other
+    nodes a round takes those that have no child left, and adds them to their parents. So each round reads only what
+    the rounds before have left, where a walk over levels would read all nodes for each. What hangs below a missing
+    parent or on a cycle is found from there down, and costs nothing where there is none.
     """
-    atom = F.col("kind") == "atom"
-    done: list[DataFrame] = []
-    below = None
-    for here in reversed(levels(nodes.select("id", "parent", "kind", "loc"))):
-        if below is None:
-            sums = here.select(F.col("id").alias("up"), *[F.lit(0).cast("long").alias(c) for c in ("f", "l", "d", "n")], F.lit(0.0).alias("s")).limit(0)
-        else:
-            sums = below.groupBy(F.col("parent").alias("up")).agg(F.sum("files").alias("f"), F.sum("loc").alias("l"), F.max("depth").alias("d"), F.count("*").alias("n"), F.sum("score").alias("s"))
-        joined = here.join(sums, here["id"] == sums["up"], "left").na.fill(0, ["f", "l", "d", "n", "s"])
-        below = joined.select(
+    nodes = nodes.select("id", "parent", "kind", "loc")
+    is_atom = F.coalesce(F.col("kind") == "atom", F.lit(False))
+    own_loc = F.coalesce("loc", F.lit(0))
+    sums = ["f", "l", "d", "n", "s"]
+
+    def first(inner: DataFrame, leaves: DataFrame) -> DataFrame:
+        """`inner` with what its leaves sum up to and the number of its inner children; a missing parent is a row without id."""
+        rows = leaves.select("parent", own_loc.alias("loc"), F.lit(True).alias("leaf")).unionByName(inner.select("parent", F.lit(0).cast("long").alias("loc"), F.lit(False).alias("leaf")))
+        each = rows.where("parent IS NOT NULL").groupBy(F.col("parent").alias("up")).agg(F.count_if(~F.col("leaf")).alias("kids"), F.count_if("leaf").alias("f"), F.sum("loc").alias("l"), F.sum(F.col("loc").cast("double")).alias("s"))
+        joined = inner.join(each.withColumn("d", F.when(F.col("f") > 0, 1).otherwise(0).cast("long")).withColumn("n", F.col("f")), F.col("id") == F.col("up"), "full_outer")
+        return cut(joined.na.fill(0, ["kids", *sums]))
+
+    def tally(rows: DataFrame) -> tuple[int, int, int]:
+        here = F.col("id").isNotNull()
+        return tuple(rows.agg(F.count_if(~here), F.count_if(here & (F.col("kids") == 0)), F.count_if(here & (F.col("kids") > 0))).first())
+
+    def valued(rows: DataFrame) -> DataFrame:
+        return rows.where("id IS NOT NULL AND kids = 0").select(
             "id",
             "parent",
             "kind",
-            F.when(atom, 1).otherwise(F.col("f")).cast("long").alias("files"),
-            F.when(atom, F.coalesce(here["loc"], F.lit(0))).otherwise(F.col("l")).cast("long").alias("loc"),
-            F.when(atom, 1).otherwise(F.col("d") + 1).cast("long").alias("depth"),
-            F.when(atom, F.coalesce(here["loc"], F.lit(0)).cast("double")).otherwise(F.col("s") * (1 + F.log(F.greatest(F.col("n"), F.lit(1))) / 10)).alias("score"),
+            F.when(is_atom, 1).otherwise(F.col("f")).cast("long").alias("files"),
+            F.when(is_atom, own_loc).otherwise(F.col("l")).cast("long").alias("loc"),
+            F.when(is_atom, 1).otherwise(F.col("d") + 1).cast("long").alias("depth"),
+            F.when(is_atom, own_loc.cast("double")).otherwise(F.col("s") * (1 + F.log(F.greatest("n", F.lit(1))) / 10)).alias("score"),
         )
-        below = cut(below)
-        # aliased anew: Spark 4.1 fails to carry a checkpoint's own constraints through a union
-        done.append(below.withColumn("files", F.col("files") + 0))
-    return union_all(done)
+
+    inner, leaves = nodes.where(~is_atom), nodes.where(is_atom)
+    rows = first(inner, leaves)
+    missing, ready, left = tally(rows)
+    if missing:
+        # parents that are no composites: atoms with children, or nothing
+        odd = cut(rows.where("id IS NULL").select("up"))
+        more = cut(leaves.join(odd, F.col("id") == F.col("up"), "left_semi"))
+        if not more.isEmpty():
+            inner, leaves = inner.unionByName(more.withColumn("loc", F.col("loc") + 0)), leaves.join(odd, F.col("id") == F.col("up"), "left_anti")
+            rows = first(inner, leaves)
+            missing, ready, left = tally(rows)
+    gone = [rows.where("id IS NULL").select("up")] if missing else []
+    done: list[DataFrame] = []
+    while ready:
+        done.append(valued(rows))
+        if not left:
+            break
+        below = done[-1].where("parent IS NOT NULL").groupBy(F.col("parent").alias("_up"))
+        below = below.agg(F.sum("files").alias("_f"), F.sum("loc").alias("_l"), F.max("depth").alias("_d"), F.count("*").alias("_n"), F.sum("score").alias("_s"))
+        joined = rows.where("id IS NOT NULL AND kids > 0").join(below, F.col("id") == F.col("_up"), "left").na.fill(0, [f"_{c}" for c in sums])
+        added = [(F.greatest(c, f"_{c}") if c == "d" else F.col(c) + F.col(f"_{c}")).alias(c) for c in sums]
+        rows = cut(joined.select("id", "parent", "kind", "loc", (F.col("kids") - F.col("_n")).alias("kids"), *added))
+        _, ready, left = tally(rows)
+    if left:
+        gone.append(rows.where("id IS NOT NULL AND kids > 0").select(F.col("id").alias("up")))
+    # aliased anew: Spark 4.1 fails to carry a checkpoint's own constraints through a union
+    fresh = lambda df, *c: df.select(*[F.concat(F.col(x), F.lit("")).alias(x) for x in c])
+    if gone:
+        lost = union_all([fresh(g, "up") for g in gone])
+        for k in reversed(range(len(done))):
+            dead = cut(done[k].join(lost, F.col("parent") == F.col("up"), "left_semi").select(F.col("id").alias("up")))
+            done[k] = done[k].join(lost, F.col("parent") == F.col("up"), "left_anti")
+            lost = lost.unionByName(fresh(dead, "up"))
+        leaves = leaves.join(lost, F.col("parent") == F.col("up"), "left_anti")
+    one = F.lit(1).cast("long")
+    done.append(leaves.select("id", "parent", "kind", one.alias("files"), own_loc.alias("loc"), one.alias("depth"), own_loc.cast("double").alias("score")))
+    return union_all([d.withColumns({c: F.concat(F.col(c), F.lit("")) for c in ("id", "parent", "kind")}) for d in done])
 
 
 def growth(nodes: DataFrame, most: int) -> DataFrame:

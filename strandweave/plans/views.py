@@ -27,7 +27,8 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     node = lambda df, i, p, kind="composite", loc=None: df.select(i.alias("id"), p.cast("string").alias("parent"), F.lit(kind).alias("kind"), (F.lit(None) if loc is None else loc).cast("long").alias("loc"))
-    items = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"))
+    # the lines of an order lie together, so that what is summed or looked up by order is so before it is shuffled
+    items = t("lineitem").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"))
     return union_all(
         [
             node(spark.range(1), F.lit("root"), F.lit(None)),

@@ -4,9 +4,11 @@ import contextlib
 import hashlib
 import io
 import json
+import math
 import random
 
 from strandweave.operators import blueprint
+from strandweave.operators import tree as trees
 
 
 def planned(df):
@@ -15,6 +17,13 @@ def planned(df):
     return out.getvalue()
 
 
+def kept(monkeypatch, module):
+    """The tables that `module` keeps in the shared folder from now on."""
+    out, cut = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df: out.append(cut(df)) or out[-1])
+    return out
+
+
 def test_digests_gather_no_document(spark):
     rng = random.Random(4)
     rows = {"meta": [(b, b, "draft", None) for b in ("a", "b", "c", "d")], "slot": [("a", f's"{i}', "x", ["v", 'u"é'], i % 2 == 0) for i in range(40)], "port": [("b", "p", "s", None, "t", True)]}
@@ -28,3 +37,27 @@ def test_digests_gather_no_document(spark):
     out = blueprint.shape_digests(t)
     assert {r.blueprint_id: r.digest for r in out.collect()} == want
     assert "collect_list" not in planned(out)
+
+
+def test_fold_keeps_leaves_out_of_its_rounds(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [("root", None, "composite", None), ("other", None, "atom", 4), ("x", "y", "composite", None), ("y", "x", "composite", None), ("x1", "x", "atom", 5), ("lost", "nowhere", "composite", None), ("l1", "lost", "atom", 3), ("l2", "nowhere", "atom", 3)]
+    rows += [("odd", "root", "atom", 7), ("o1", "odd", "atom", 2), ("o2", "odd", "composite", None), ("o3", "o2", "atom", 1), ("none", "root", "composite", None)]
+    rows += [(f"d{i}", f"d{i - 1}" if i else "root", "composite", None) for i in range(5)] + [(f"a{i}", f"d{rng.randint(0, 4)}", "atom", rng.choice([None, i])) for i in range(600)]
+    up, kids = {r[0]: r for r in rows}, {}
+    for r in rows:
+        kids.setdefault(r[1], []).append(r[0])
+
+    def fold(i):
+        below = [fold(k) for k in kids.get(i, [])]
+        want.update(dict(zip(kids.get(i, []), below)))
+        if up[i][2] == "atom":
+            return 1, up[i][3] or 0, 1, float(up[i][3] or 0)
+        return sum(b[0] for b in below), sum(b[1] for b in below), 1 + max((b[2] for b in below), default=0), sum(b[3] for b in below) * (1 + math.log(max(1, len(below))) / 10)
+
+    want = {}
+    want.update({i: fold(i) for i in ("root", "other")})
+    cuts = kept(monkeypatch, trees)
+    got = {r.id: r for r in trees.subtree(spark.createDataFrame(rows, "id string, parent string, kind string, loc long")).collect()}
+    assert got.keys() == want.keys() and all((got[i].files, got[i].loc, got[i].depth) == w[:3] and abs(got[i].score - w[3]) < 1e-9 for i, w in want.items())
+    assert sum(c.count() for c in cuts) < 200
