@@ -12,6 +12,10 @@ from strandweave.functions.text import ancestors_of, union_all
 from strandweave.runtime import cut
 
 
+#: Rows of a counted side up to which it is broadcast.
+FEW = 10_000
+
+
 def closure(nodes: DataFrame) -> DataFrame:
     """(node, ancestor, distance), each node its own ancestor at 0; one join a level.
 
@@ -133,17 +137,31 @@ def growth(nodes: DataFrame, most: int) -> DataFrame:
 
 
 def invariants(nodes: DataFrame, children: DataFrame, depends: DataFrame) -> DataFrame:
-    """(problem, id, other) for nodes, listed children (id, child) and dependencies (id, target) that don't fit together."""
+    """(problem, id, other) for nodes, listed children (id, child) and dependencies (id, target) that don't fit together.
+
+    Two shuffles of all nodes: by name, for the parents that aren't there, and by link, for the lists.
+    """
+    say = lambda df, problem, a, b: df.select(F.lit(problem).alias("problem"), F.col(a).alias("id"), F.col(b).alias("other"))
     ids = nodes.select(F.col("id").alias("known"))
     links = nodes.where("parent IS NOT NULL").select("id", "parent")
-    say = lambda df, problem, a, b: df.select(F.lit(problem).alias("problem"), F.col(a).alias("id"), F.col(b).alias("other"))
     listed = children.select(F.col("id").alias("parent"), F.col("child").alias("id"))
+    named = links.select(F.col("parent").alias("up")).union(depends.select("target")).distinct()
+    none = cut(named.join(ids, F.col("up") == F.col("known"), "left_anti").select("up", F.lit(True).alias("gone")))
+    few = none.limit(FEW + 1).count() <= FEW
+    none = F.broadcast(none) if few else none
+    # each link meets its list once; only what doesn't fit goes on
+    both = links.withColumn("by", F.lit(True)).unionByName(listed.withColumn("by", F.lit(False))).repartition("parent", "id")
+    pairs = both.groupBy("parent", "id").agg(F.count_if("by").alias("links"), F.count_if(~F.col("by")).alias("listed"))
+    null = F.col("parent").isNull() | F.col("id").isNull()
+    flagged = pairs.join(none, F.col("parent") == F.col("up"), "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    odd = cut(flagged.select("parent", "id", "links", "listed", "gone", null.alias("blank")).where("gone OR blank OR links = 0 OR listed = 0"))
+    times = lambda where, n: odd.where(where).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col(n))))
     return union_all(
         [
-            say(links.join(ids, links["parent"] == ids["known"], "left_anti"), "parent missing", "id", "parent"),
-            say(links.join(ids, links["parent"] == ids["known"], "left_semi").join(listed, ["id", "parent"], "left_anti"), "not listed by parent", "id", "parent"),
-            say(listed.join(links, ["id", "parent"], "left_anti"), "names another parent", "id", "parent"),
-            say(depends.join(ids, depends["target"] == ids["known"], "left_anti"), "dependency missing", "id", "target"),
+            say(times("gone AND links > 0", "links"), "parent missing", "id", "parent"),
+            say(times("NOT gone AND links > 0 AND (blank OR listed = 0)", "links"), "not listed by parent", "id", "parent"),
+            say(times("listed > 0 AND (blank OR links = 0)", "listed"), "names another parent", "id", "parent"),
+            say(depends.where("target IS NULL").union(depends.join(none, F.col("target") == F.col("up"), "left_semi")), "dependency missing", "id", "target"),
         ]
     )
 

@@ -61,3 +61,17 @@ def test_fold_keeps_leaves_out_of_its_rounds(spark, monkeypatch):
     got = {r.id: r for r in trees.subtree(spark.createDataFrame(rows, "id string, parent string, kind string, loc long")).collect()}
     assert got.keys() == want.keys() and all((got[i].files, got[i].loc, got[i].depth) == w[:3] and abs(got[i].score - w[3]) < 1e-9 for i, w in want.items())
     assert sum(c.count() for c in cuts) < 200
+
+
+def test_invariants_meet_nodes_twice(spark):
+    rng = random.Random(5)
+    rows = [("root", None)] + [(f"n{i}", rng.choice(["root", "gone", f"n{i // 3}"])) for i in range(1, 200)] + [("n5", "n1"), ("n5", "n1")]
+    listed = [(p, i) for i, p in rows[1:] if rng.random() < 0.9] + [("n1", "n9"), ("n1", "n9"), (None, "n4"), ("n2", None)]
+    depends = [("n1", "n2"), ("n1", "nothing"), ("n3", None)]
+    ids, links = {i for i, _ in rows}, [(p, i) for i, p in rows if p]
+    want = [("parent missing", i, p) for p, i in links if p not in ids] + [("not listed by parent", i, p) for p, i in links if p in ids and (p, i) not in listed]
+    want += [("names another parent", i, p) for p, i in listed if (p, i) not in links] + [("dependency missing", i, t) for i, t in depends if t not in ids]
+    nodes = spark.createDataFrame(rows, "id string, parent string")
+    out = trees.invariants(nodes, spark.createDataFrame(listed, "id string, child string"), spark.createDataFrame(depends, "id string, target string"))
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    assert planned(out).count("Exchange hashpartitioning") == 0
