@@ -180,7 +180,7 @@ _LAYERS = "(VALUES ('low', 0), ('mid', 1), ('high', 2)) v(layer, idx)"
 @query(f"WITH {_EDGES}, l AS (SELECT DISTINCT file, CASE WHEN file < 'Brand#23' THEN 'low' WHEN file < 'Brand#4' THEN 'mid' WHEN file < 'Brand#53' THEN 'high' END AS layer FROM items), x AS (SELECT file, layer, idx FROM l JOIN {_LAYERS} USING (layer)) SELECT src, dst, a.layer AS from_layer, b.layer AS to_layer FROM edges JOIN x a ON a.file = src JOIN x b ON b.file = dst WHERE b.idx > a.idx")
 def layer_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = views.part_edges(spark, sf_dir)
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    nodes = views.part_files(spark, sf_dir).select(F.col("file").alias("id")).distinct()
     layer = F.when(F.col("id") < "Brand#23", "low").when(F.col("id") < "Brand#4", "mid").when(F.col("id") < "Brand#53", "high")
     levels = spark.createDataFrame([("low", 0), ("mid", 1), ("high", 2)], "layer string, idx int")
     return trees.layer_violations(edges, nodes.withColumn("layer", layer), levels)

@@ -75,3 +75,15 @@ def test_invariants_meet_nodes_twice(spark):
     out = trees.invariants(nodes, spark.createDataFrame(listed, "id string, child string"), spark.createDataFrame(depends, "id string, target string"))
     assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
     assert planned(out).count("Exchange hashpartitioning") == 0
+
+
+def test_lines_meet_by_number_before_they_are_named(spark, tmp_path):
+    from strandweave.plans import views
+
+    lines = [(1, 1, 5), (1, 2, 6), (1, 2, 6), (1, 3, 5), (1, 4, None), (2, 1, 5), (2, 2, 6), (2, 3, 7), (3, 1, 9), (3, 2, 5), (4, 1, 5), (4, 2, 5)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(5, "x"), (6, None), (6, "y"), (7, "z"), (7, "z")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    out = views.part_edges(spark, str(tmp_path))
+    want = [(a, b) for a, b in (("x/5", "6"), ("x/5", "y/6"), ("6", "x/5"), ("y/6", "x/5"), ("6", "z/7"), ("y/6", "z/7"))]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert "hashpartitioning(src" not in planned(out)
