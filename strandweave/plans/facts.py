@@ -91,7 +91,7 @@ def digest(facts: DataFrame, parent: str | None = None) -> str:
     Hashes meet by their first digits, two digits fewer at each step, so about 256 of them meet in one row however
     many facts there are.
     """
-    nodes = canonical(facts).select(F.sha2(F.col("payload").cast("binary"), 256).alias("h"))
+    nodes = cut(canonical(facts).select(F.sha2(F.col("payload").cast("binary"), 256).alias("h")))  # counted, then hashed
     n, digits = nodes.count(), 0
     while n > 256 << (4 * digits):
         digits += 2

@@ -7,6 +7,8 @@ import json
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from strandweave.operators import blueprint
 from strandweave.operators import tree as trees
 
@@ -87,3 +89,11 @@ def test_lines_meet_by_number_before_they_are_named(spark, tmp_path):
     want = [(a, b) for a, b in (("x/5", "6"), ("x/5", "y/6"), ("6", "x/5"), ("y/6", "x/5"), ("6", "z/7"), ("y/6", "z/7"))]
     assert sorted(map(tuple, out.collect())) == sorted(want)
     assert "hashpartitioning(src" not in planned(out)
+
+
+def test_digest_makes_its_payloads_once(spark, monkeypatch):
+    from strandweave.plans import facts
+
+    rows = facts.fact(spark.range(9), F.col("id"), "depends-on", F.lit("x"))
+    cuts = kept(monkeypatch, facts)
+    assert facts.digest(rows) == facts.digest(rows.union(rows)) and [c.count() for c in cuts] == [9, 9]
