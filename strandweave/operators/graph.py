@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions.text import dir_of
-from strandweave.runtime import cut
+from strandweave.runtime import cut, laid
 
 
 #: Rounds of a search after which the nodes seen so far are written as one table again.
 COMPACT = 8
+#: Edges up to which cycles are found in one place; of more, one node in so many is a seed, and seeds claim nodes for
+#: so many rounds at most, or until a round adds less than that part of all claimed. Contracting is exact wherever it stops.
+SMALL, ONE_IN, ROUNDS, TAIL = 100_000, 256, 16, 1000
 
 
 def bfs(edges: DataFrame, start: DataFrame, depth: int | None, keep_start: bool = False, ordered: bool = False) -> DataFrame:
@@ -89,18 +92,19 @@ def _around(edges: DataFrame) -> DataFrame:
     return cut(forward.join(back, "node", "left_semi").crossJoin(pivot.withColumnRenamed("node", "color")))  # the pivot is one row
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """(node, component): strongly connected components of more than one node, named by their least member.
+def _colored(edges: DataFrame) -> DataFrame:
+    """(node, color): the strongly connected components of `edges`, some of one node, by rounds over all edges.
 
     What can't lie on a cycle is trimmed first. The component of the best connected node, the giant one of most
     graphs, is found from that node. Of the rest each node takes the greatest name that reaches it; a name that
     its own node keeps marks a component, made of the nodes of that colour that lead back to it. Those are removed and
     what is left is coloured again. A colouring takes as many rounds as its longest shortest way has steps.
     """
-    edges, found = _trimmed(edges), None
-    if not edges.isEmpty():
-        found = _around(edges)
-        edges = _trimmed(_without(edges, found))
+    edges = _trimmed(edges)
+    if edges.isEmpty():
+        return edges.select(F.col("src").alias("node"), F.col("dst").alias("color"))
+    found = _around(edges)
+    edges = _trimmed(_without(edges, found))
     while not edges.isEmpty():
         color = cut(edges.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("color")))
         while True:
@@ -115,8 +119,105 @@ def cycles(edges: DataFrame) -> DataFrame:
         part = cut(back.select("node", "color"))
         found = found.union(part)
         edges = _trimmed(_without(edges, part))
-    if found is None:
-        return edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).limit(0)
+    return found
+
+
+def _walked(edges: DataFrame) -> DataFrame:
+    """(node, color): the strongly connected components of more than one node of a few edges, by a search in depth (Tarjan)."""
+    to: dict = {}
+    for a, b in edges.collect():
+        to.setdefault(a, []).append(b)
+    index, low, stack, out = {}, {}, [], []
+    for root in to:
+        path = [] if root in index else [(root, iter(to[root]))]
+        while path:
+            node, rest = path[-1]
+            if node not in index:
+                index[node] = low[node] = len(index)
+                stack.append(node)
+            for b in rest:
+                if b not in index:
+                    path.append((b, iter(to.get(b, ()))))
+                    break
+                low[node] = min(low[node], low.get(b, low[node]))
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
+                if low[node] == index[node]:
+                    group = []
+                    while not group or group[-1] != node:
+                        group.append(stack.pop())
+                        del low[group[-1]]
+                    out += [(n, node) for n in group] if len(group) > 1 else []
+    kind = edges.schema["src"].dataType.simpleString()
+    return edges.sparkSession.createDataFrame(out, f"node {kind}, color {kind}")
+
+
+def _claimed(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, owner): the seeds (node) and most nodes they lead to along laid `edges`, each with one of the seeds nearest to it."""
+    front = seeds.select("node", F.col("node").alias("owner"))
+    claimed, total = front, seeds.count()
+    for _ in range(ROUNDS):
+        sent = edges.join(front.withColumnRenamed("node", "src"), "src").groupBy("dst").agg(F.min("owner").alias("owner"))
+        front = cut(sent.join(claimed.select(F.col("node").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("node"), "owner"))
+        new = front.count()
+        if new:
+            claimed, total = claimed.union(front), total + new
+        if new * TAIL < total:
+            break
+    return claimed
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """(node, color): the strongly connected components of `edges` (src, dst), some of one node.
+
+    Many edges are contracted first. Seeds claim the nodes they lead to, and, going back, those that lead to them. A
+    node claimed by p and leading to q is a way from p to q; where such ways make a circle, their seeds and nodes are
+    of one component. All edges between the classes so made, or nodes outside them, are then a graph of their own. Each
+    edge is followed once forward and once back, whether there is one giant component or there are many.
+    """
+    edges = cut(edges.where("src != dst").select("src", "dst").distinct())
+    n = edges.count()
+    if n <= SMALL:
+        return _walked(edges)
+    some = lambda c: edges.select(F.col(c).alias("node")).where(F.pmod(F.xxhash64(c), F.lit(ONE_IN)) == 0)
+    seeds = cut(some("src").intersect(some("dst")))
+    if seeds.isEmpty():
+        return _colored(edges)
+    out = laid(edges, "src")
+    first = _claimed(out, seeds).withColumnRenamed("owner", "by")
+    last = _claimed(laid(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "src"), seeds).withColumnRenamed("owner", "to")
+    both = cut(first.join(last, "node").select("node", "by", "to"))
+    joined = cut(_components(both.select(F.col("by").alias("src"), F.col("to").alias("dst"))))
+    own = lambda c: joined.select(F.col("node").alias(c), F.col("color").alias(f"{c}_color"))
+    both = both.join(own("by"), "by", "left").join(own("to"), "to", "left").select("node", F.coalesce("by_color", "by").alias("color"), F.coalesce("to_color", "to").alias("other"))
+    classes = cut(both.where("color = other").select("node", "color"))
+    end = lambda c: classes.select(F.col("node").alias(c), F.col("color").alias(f"{c}_class"))
+    left = out.join(end("src"), "src", "left").select(F.coalesce("src_class", "src").alias("src"), "dst")
+    left = left.join(end("dst"), "dst", "left").select("src", F.coalesce("dst_class", "dst").alias("dst"))
+    left = cut(left.where("src != dst").distinct())
+    rest = cut(_components(left) if 2 * left.count() < n else _colored(left))
+    # a class bears the name of one of its own nodes
+    more = rest.select(F.col("node").alias("color"), F.col("color").alias("whole"))
+    inside = classes.join(more, "color", "left").select("node", F.coalesce("whole", "color").alias("color"))
+    return inside.union(rest.join(classes.select("node"), "node", "left_anti").select("node", "color"))
+
+
+def cycles(edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(node, component): strongly connected components of more than one node, named by their least member.
+
+    With `names` (key, node) the edges are between keys. Each name of a key is a node, with all its key's edges, those
+    from the key to itself among its other names.
+    """
+    if names is None:
+        found = _components(edges)
+    else:
+        edges = cut(edges.select("src", "dst"))
+        found = cut(_components(edges))
+        loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct().join(found, "node", "left_anti")
+        found = found.union(loops.select("node", F.col("node").alias("color"))).withColumnRenamed("node", "key").join(names, "key").select("node", "color")
+    found = cut(found)
     named = found.groupBy("color").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
     return found.join(named, "color").select("node", "component")
 

@@ -227,7 +227,11 @@ def dead_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dependency_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cycles(views.part_edges(spark, sf_dir))
+    """Cycles of part files, found on their keys."""
+    names = views.part_files(spark, sf_dir)
+    has = lambda c: names.select(F.col("p_partkey").alias(c)).distinct()
+    pairs = views.part_pairs(spark, sf_dir).join(has("a"), "a", "left_semi").join(has("b"), "b", "left_semi")
+    return graph.cycles(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), names.withColumnsRenamed({"p_partkey": "key", "file": "node"}))
 
 
 _HELD = "edges AS (SELECT 'n' || c_nationkey || '/c' || c_custkey AS src, 'n' || (o_orderkey % 25) || '/o' || o_orderkey AS dst FROM orders JOIN customer ON o_custkey = c_custkey)"

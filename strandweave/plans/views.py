@@ -46,15 +46,19 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string")).alias("file")).distinct()
 
 
+def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b): keys of parts on consecutive lines of an order, each pair once."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").where("l_partkey IS NOT NULL")
+    after = rows.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("b"))
+    return rows.withColumnRenamed("l_partkey", "a").join(after, ["l_orderkey", "l_linenumber"]).select("a", "b").distinct()
+
+
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst): parts on consecutive lines of an order; a file's directory is its brand."""
     parts = part_files(spark, sf_dir)
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").where("l_partkey IS NOT NULL")
-    after = rows.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("b"))
-    # pairs of keys, each once, before the names, which hold the key and so differ with it
-    pairs = rows.withColumnRenamed("l_partkey", "a").join(after, ["l_orderkey", "l_linenumber"]).select("a", "b").distinct()
+    # pairs of keys before the names, which hold the key and so differ with it
     named = lambda c: parts.select(F.col("p_partkey").alias(c), F.col("file").alias("src" if c == "a" else "dst"))
-    return pairs.join(named("b"), "b").join(named("a"), "a").where("src != dst").select("src", "dst")
+    return part_pairs(spark, sf_dir).join(named("b"), "b").join(named("a"), "a").where("src != dst").select("src", "dst")
 
 
 def key_facts(spark: SparkSession, sf_dir: str) -> DataFrame:

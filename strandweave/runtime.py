@@ -52,6 +52,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def laid(df: DataFrame, *keys: str) -> DataFrame:
+    """`df`, cut, with equal `keys` in one partition and in order; later joins by them know it and leave it where it lies.
+
+    An adaptive plan forgets how a checkpoint's rows lie (Spark 4.1), so this one step is planned without.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    was = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return cut(df.repartition(*keys).sortWithinPartitions(*keys))
+    finally:
+        conf.set(name, was)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -97,3 +97,43 @@ def test_digest_makes_its_payloads_once(spark, monkeypatch):
     rows = facts.fact(spark.range(9), F.col("id"), "depends-on", F.lit("x"))
     cuts = kept(monkeypatch, facts)
     assert facts.digest(rows) == facts.digest(rows.union(rows)) and [c.count() for c in cuts] == [9, 9]
+
+
+def test_cycles_contract_many_components_at_once(spark, monkeypatch):
+    from strandweave.operators import graph
+
+    rng, pairs = random.Random(11), set()
+    for c in range(8):
+        pairs |= {(100 * c + rng.randrange(60), 100 * c + rng.randrange(60)) for _ in range(300)} | {(100 * c + 70 + i, 100 * c + 70 + (i + 1) % 5) for i in range(4 + c % 2)}
+    pairs |= {(100 * c + rng.randrange(80), 100 * (c + 1) + rng.randrange(80)) for c in range(7)} | {(5, 5)}
+    table = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    want = {r.node: r.component for r in graph.cycles(table).collect()}  # few edges: in one place
+    to, far = {}, {}
+    for a, b in pairs:
+        to.setdefault(a, set()).add(b)
+    for a in to:
+        seen, todo = set(), [a]
+        while todo:
+            new = to.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        far[a] = seen
+    assert want == {a: min(b for b in far[a] if a in far.get(b, ())) for a in far if any(b != a and a in far.get(b, ()) for b in far[a])}
+    # of many edges, what is left once seeds have claimed their nodes
+    walked, left = graph._walked, []
+    monkeypatch.setattr(graph, "SMALL", len(pairs) // 2)
+    monkeypatch.setattr(graph, "ONE_IN", 8)
+    monkeypatch.setattr(graph, "_walked", lambda edges: left.append(edges.count()) or walked(edges))
+    assert {r.node: r.component for r in graph.cycles(table).collect()} == want and left
+    # and all by colour
+    monkeypatch.setattr(graph, "SMALL", 0)
+    monkeypatch.setattr(graph, "ONE_IN", 10**6)
+    assert {r.node: r.component for r in graph.cycles(table.where("src < 300")).collect()} == {n: c for n, c in want.items() if n < 300}
+
+
+def test_cycles_of_keys_with_several_names(spark):
+    from strandweave.operators import graph
+
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 3), (4, 4), (5, 1)], "src long, dst long")
+    names = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, "x"), (3, "y"), (4, "z"), (5, "q")], "key long, node string")
+    assert {r.node: r.component for r in graph.cycles(edges, names).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
