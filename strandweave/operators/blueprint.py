@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions.text import union_all
 from strandweave.operators.graph import cycles
+from strandweave.runtime import cut
 
 SCHEMAS = {
     "meta": "blueprint_id string, title string, lifecycle string, supersedes string",
@@ -87,15 +88,36 @@ def slot_edges(t: Tables, stateless_only: bool = False) -> DataFrame:
 
 def unmarked_cycles(t: Tables) -> DataFrame:
     """(blueprint_id, id): slots on a cycle of flows of which none is stateful; a flow back into its own slot is one."""
-    e = slot_edges(t, True)
+    return _cyclic(cut(slot_edges(t, True).distinct()))
+
+
+def _cyclic(e: DataFrame) -> DataFrame:
+    """(blueprint_id, id): the slots on a cycle of edges (blueprint_id, src, dst)."""
     name = lambda c: F.concat_ws("\x1f", "blueprint_id", c)
     loops = e.where("src = dst").select("blueprint_id", F.col("src").alias("id"))
     found = cycles(e.select(name("src").alias("src"), name("dst").alias("dst")))
     return loops.union(found.select(F.substring_index("node", "\x1f", 1), F.substring_index("node", "\x1f", -1))).distinct()
 
 
+def _flow_findings(flow: DataFrame, port: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Problems of flows' ends, each once, and the edges (blueprint_id, src, dst) of stateless ones; a flow meets the ports twice, once an end."""
+    rows, found = flow, []
+    for end, want in (("from", "output"), ("to", "input")):
+        p = port.select(F.col("blueprint_id").alias(f"_{end}"), F.col("id").alias(f"{end}_id"), F.col("slot").alias(f"{end}_slot"), F.col("direction").alias(f"{end}_way"))
+        rows = rows.join(p, (F.col("blueprint_id") == F.col(f"_{end}")) & (F.col(end) == F.col(f"{end}_id")), "left")
+        none = F.col(f"_{end}").isNull()
+        found.append(F.when(none, f"flow {end} no port").when(F.col(f"{end}_way") != want, f"flow {end} a wrong way"))
+    text, no = F.col("id").cast("string"), F.lit(None).cast("string")
+    says = [F.struct(problem.alias("problem"), text.alias("id"), no.alias("src"), no.alias("dst")) for problem in found]
+    edge = F.when(F.expr("NOT stateful AND _from IS NOT NULL AND _to IS NOT NULL"), "edge")
+    says.append(F.struct(edge.alias("problem"), no.alias("id"), F.col("from_slot").alias("src"), F.col("to_slot").alias("dst")))
+    out = cut(rows.select("blueprint_id", F.inline(F.filter(F.array(*says), lambda x: x["problem"].isNotNull()))).distinct())
+    return out.where("problem != 'edge'").select("blueprint_id", "problem", "id"), out.where("problem = 'edge'").select("blueprint_id", "src", "dst")
+
+
 def validate(t: Tables) -> DataFrame:
     """(blueprint_id, problem, id): every rule that a document breaks, each once."""
+    t = {**t, "flow": cut(t["flow"])}  # read for its ids and for its ends
     slot, port, flow, impl, adapter, witness = (t[k] for k in ("slot", "port", "flow", "implementation", "adapter", "witness"))
     out = []
     for kind in ("slot", "port", "flow", "implementation", "adapter", "witness"):
@@ -105,11 +127,6 @@ def validate(t: Tables) -> DataFrame:
         out.append(_say(t[kind].where(~F.col("id").rlike(r"^[A-Za-z0-9._-]+$") & (F.trim("id") != "")), f"bad {kind} id"))
     out.append(_say(t["meta"].where(F.trim(F.coalesce("title", F.lit(""))) == ""), "blank title", "blueprint_id"))
     out.append(_say(_without(port, "slot", slot), "port of no slot"))
-    out.append(_say(_without(flow, "from", port), "flow from no port"))
-    out.append(_say(_without(flow, "to", port), "flow to no port"))
-    way = port.select("blueprint_id", F.col("id").alias("p"), "direction")
-    for end, want in (("from", "output"), ("to", "input")):
-        out.append(_say(flow.join(way.withColumnRenamed("p", end), ["blueprint_id", end]).where(F.col("direction") != want), f"flow {end} a wrong way"))
     pairs = impl.select("blueprint_id", "id", F.size("slots").alias("n"), F.explode("slots").alias("s"))
     out.append(_say(_without(pairs, "s", slot), "implementation of no slot"))
     out.append(_say(impl.where(F.trim(F.coalesce("binding", F.lit(""))) == ""), "implementation without binding"))
@@ -127,8 +144,9 @@ def validate(t: Tables) -> DataFrame:
     out.append(_say(adapter.join(starts, (F.col("blueprint_id") == F.col("b")) & (F.col("to_port") == F.col("next")), "left_semi"), "adapter chain"))
     known = slot.select("blueprint_id", "id").union(port.select("blueprint_id", "id"))
     out.append(_say(_without(witness.select("blueprint_id", "id", F.explode("covers").alias("c")), "c", known), "witness of nothing"))
-    out.append(_say(unmarked_cycles(t), "cycle without a stateful flow"))
-    return union_all(out).distinct()
+    ends, edges = _flow_findings(flow, port)
+    out.append(_say(_cyclic(edges), "cycle without a stateful flow"))
+    return union_all(out).distinct().unionByName(ends)
 
 
 #: Characters of sorted rows that go into one piece of a document's text.

@@ -137,3 +137,18 @@ def test_cycles_of_keys_with_several_names(spark):
     edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 3), (4, 4), (5, 1)], "src long, dst long")
     names = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, "x"), (3, "y"), (4, "z"), (5, "q")], "key long, node string")
     assert {r.node: r.component for r in graph.cycles(edges, names).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
+
+
+def test_validation_makes_flows_once(spark, monkeypatch):
+    ports = [("b", "o1", "s", "output"), ("b", "o1", "t", "input"), ("b", "i1", "t", "input"), ("b", "i2", "s", "input"), ("c", "o1", "s", None), ("b", "o2", "t", "output")]
+    flows = [("b", "f1", "o1", "i1", False), ("b", "f2", "o2", "i2", False), ("b", "f3", "i1", "o2", True), ("b", "f4", None, "zz", False), ("c", "f5", "o1", "o1", None), (None, "f6", "o1", "i1", False), ("b", "f4", "o1", "i2", True), ("b", " ", "o2", "i1", True)]
+    rows = {"meta": [("b", "b", "draft", None), ("c", "c", "draft", None)], "slot": [("b", s, "x", [], True) for s in "st"] + [("c", "s", "x", [], True)], "port": [(b, p, s, way, "t", True) for b, p, s, way in ports]}
+    made = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: made.add(1) or x, "boolean").asNondeterministic()
+    t = blueprint.tables(spark, rows)
+    t["flow"] = spark.createDataFrame(flows, blueprint.SCHEMAS["flow"]).withColumn("stateful", seen("stateful"))
+    got = sorted(map(tuple, blueprint.validate(t).collect()), key=repr)
+    want = [("b", "duplicate port", "o1"), ("b", "duplicate flow", "f4"), ("b", "blank flow id", " "), ("b", "flow from no port", "f4"), (None, "flow from no port", "f6"), (None, "flow to no port", "f6"), ("b", "flow to no port", "f4")]
+    want += [("b", "flow from a wrong way", f) for f in ("f1", "f3", "f4")] + [("b", "flow to a wrong way", "f3")]
+    want += [("b", "cycle without a stateful flow", s) for s in "st"]
+    assert got == sorted(want, key=repr) and made.value == len(flows)
