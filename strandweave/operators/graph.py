@@ -249,18 +249,23 @@ def fan_in(edges: DataFrame, top: int = 8) -> DataFrame:
     return edges.select("src", "dst").distinct().groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "node").limit(top)
 
 
+def _in_blocks(ranges: DataFrame, number: Callable[[Column], Column]) -> DataFrame:
+    """`ranges` (start, end) with _k and _block: a range of up to 2**_k numbers meets at most two aligned blocks of so many, and lies in each."""
+    lo, hi = number(F.col("start")).cast("long"), number(F.col("end")).cast("long")
+    # past 2**62 numbers, or where their count overflows, all is one block
+    held = ranges.withColumn("_lo", lo).withColumn("_hi", hi).where("start <= end AND _lo IS NOT NULL AND _hi IS NOT NULL")
+    held = held.withColumn("_k", F.expr("CASE WHEN _hi = _lo THEN 0 WHEN try_subtract(_hi, _lo) IS NULL THEN 63 ELSE length(bin(_hi - _lo)) END").cast("int"))
+    return held.withColumn("_block", F.explode(F.expr("CASE WHEN _k > 62 THEN array(0L) ELSE array_distinct(array(shiftright(_lo, _k), shiftright(_hi, _k))) END"))).drop("_lo", "_hi")
+
+
 def innermost(refs: DataFrame, ranges: DataFrame, span: list[Column], number: Callable[[Column], Column]) -> DataFrame:
     """Each reference (file, ref, at) with the narrowest of `ranges` (file, owner, start, end, ord) that holds it, ends included.
 
     `span` orders ranges by width; ties go to the first by ord. `number` gives a place's whole number, which rises
-    with places. A range lies in the least block of 2**k numbers, aligned by its size, that holds both its ends; a
-    reference looks into its block of each size that occurs, 64 at most. So a file's references and ranges meet by
-    block, not all with all.
+    with places. A reference looks into its block of each size that occurs, 64 at most and one where all ranges are about
+    as wide. So a file's references and ranges meet by block, not all with all.
     """
-    lo, hi = number(F.col("start")).cast("long"), number(F.col("end")).cast("long")
-    apart = lo.bitwiseXOR(hi)
-    held = ranges.withColumn("_k", F.when(apart == 0, 0).otherwise(F.length(F.bin(apart))).cast("int")).withColumn("_lo", lo)
-    held = held.withColumn("_block", F.expr("CASE WHEN _k > 62 THEN 0 ELSE shiftright(_lo, _k) END")).where("start <= end")
+    held = _in_blocks(ranges, number)
     # a row for each size that occurs
     sizes = held.select(F.col("_k").alias("_size")).distinct()
     asked = refs.withColumn("_at", number(F.col("at")).cast("long")).crossJoin(F.broadcast(sizes))

@@ -139,6 +139,25 @@ def test_cycles_of_keys_with_several_names(spark):
     assert {r.node: r.component for r in graph.cycles(edges, names).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
 
 
+def test_references_look_into_few_blocks(spark):
+    from strandweave.operators import graph
+
+    rng, top = random.Random(2), 2**63 - 1
+    even = spark.createDataFrame([(10 * i, 10 * i + 9) for i in range(500)], "start long, end long")
+    blocks = graph._in_blocks(even, lambda c: c)
+    assert blocks.select("_k").distinct().count() == 1 and blocks.count() <= 1000
+    spans = [(a, a + rng.choice([0, 1, 2, 3, 8, 40, 200])) for a in (rng.randint(-300, 300) for _ in range(120))]
+    spans += [(-top - 1, top), (-top, 5), (0, top), (top - 1, top), (7, 6), (None, 4), (4, None)]
+    held = [("f", f"o{k}", a, b, k) for k, (a, b) in enumerate(spans)]
+    refs = [("f", f"r{k}", at) for k, at in enumerate([*range(-320, 520, 3), top, -top, -top - 1, None])] + [("g", "r", 0)]
+    out = graph.innermost(spark.createDataFrame(refs, "file string, ref string, at long"), spark.createDataFrame(held, "file string, owner string, start long, end long, ord long"), [(F.col("end").cast("decimal(38,0)") - F.col("start")).alias("w")], lambda c: c)
+    want = {}
+    for f, r, at in refs:
+        around = [(b - a, k, o) for g, o, a, b, k in held if g == f and None not in (a, b, at) and a <= at <= b]
+        want |= {r: min(around)[2]} if around else {}
+    assert {r.ref: r.owner for r in out.collect()} == want
+
+
 def test_validation_makes_flows_once(spark, monkeypatch):
     ports = [("b", "o1", "s", "output"), ("b", "o1", "t", "input"), ("b", "i1", "t", "input"), ("b", "i2", "s", "input"), ("c", "o1", "s", None), ("b", "o2", "t", "output")]
     flows = [("b", "f1", "o1", "i1", False), ("b", "f2", "o2", "i2", False), ("b", "f3", "i1", "o2", True), ("b", "f4", None, "zz", False), ("c", "f5", "o1", "o1", None), (None, "f6", "o1", "i1", False), ("b", "f4", "o1", "i2", True), ("b", " ", "o2", "i1", True)]
